@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
-from . import mixing, quality_rules, url_filters
+from . import decontaminate, licenses, mixing, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_license_scan": lambda s, d: licenses.op2(load(s, d, "documents")),
         "op4_source_mixing": lambda s, d: mixing.op4(load(s, d, "documents")),
         "op7_url_filters": lambda s, d: url_filters.op7(load(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(load(s, d, "documents")),
+        "op10_benchmark_decontamination": lambda s, d: decontaminate.op10(load(s, d, "documents"), load(s, d, "benchmark")),
     }
 
 

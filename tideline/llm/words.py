@@ -20,6 +20,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Folds A-Z and makes ASCII punctuation and control bytes part of the gaps between words.
+PLAIN = _FOLD.copy()
+PLAIN[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LANE = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 
@@ -81,8 +84,8 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return h
 
 
-def words(texts: pa.Array, fold: bool = True) -> Words:
-    """Of an Arrow array of strings; null is the empty text."""
+def words(texts: pa.Array, table: np.ndarray = _FOLD) -> Words:
+    """Of an Arrow array of strings, each byte through ``table``; null is the empty text."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -90,8 +93,7 @@ def words(texts: pa.Array, fold: bool = True) -> Words:
     raw = texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = offsets - offsets[0]
-    if fold:
-        data = _FOLD[data]
+    data = table[data]
     n = len(data)
     letter = ~_SPACE[data]
     first, last = letter.copy(), letter.copy()
