@@ -28,7 +28,7 @@ BEGINNINGS = (4, 5, 6)  # bytes
 POSITIVES, UNLABELLED = 4000, 12000
 FEATURES = 4000  # kept, by association with the positives
 LEAST_POSITIVES = 3  # documents a kept feature is in
-LEAST_SCORE = 3.0
+LEAST_SCORE = 2.0
 THRESHOLD = 0.7
 
 
