@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
-from . import decontaminate, licenses, mixing, quality_rules, toxicity, url_filters
+from . import decontaminate, importance, licenses, mixing, quality_rules, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_source_mixing": lambda s, d: mixing.op4(load(s, d, "documents")),
         "op7_url_filters": lambda s, d: url_filters.op7(load(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(load(s, d, "documents")),
+        "op9_importance_resampling": lambda s, d: importance.op9(load(s, d, "documents"), load(s, d, "labels")),
         "op10_benchmark_decontamination": lambda s, d: decontaminate.op10(load(s, d, "documents"), load(s, d, "benchmark")),
     }
 
