@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
-from . import decontaminate, importance, licenses, mixing, quality_rules, toxicity, url_filters
+from . import decontaminate, importance, jaccard, licenses, mixing, quality_rules, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda s, d: toxicity.op1(load(s, d, "documents"), load(s, d, "labels")),
         "op2_license_scan": lambda s, d: licenses.op2(load(s, d, "documents")),
+        "op3_ngram_jaccard_join": lambda s, d: jaccard.op3(load(s, d, "documents")),
         "op4_source_mixing": lambda s, d: mixing.op4(load(s, d, "documents")),
         "op7_url_filters": lambda s, d: url_filters.op7(load(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(load(s, d, "documents")),
