@@ -10,6 +10,7 @@ is covered as well as a straight one.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sieve
 from .words import pieces, runs, words
 
 MIN_MATCH = 4
 COVERAGE = 0.5
-FILTER_BITS = 25  # the seed filter's size, whatever the benchmark's: 4 MB
 
 
 def _seeds(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,15 +49,6 @@ def item_seeds(benchmark: DataFrame, size: int = MIN_MATCH) -> DataFrame:
     return source.mapInArrow(scan, "item_id long, item_words long, item_pos long, seed long")
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Packed bits of the seeds' leading bits: a fixed size, full at worst."""
-    slot = F.call_function("shiftrightunsigned", F.col("seed"), F.lit(64 - FILTER_BITS))
-    rows = seeds.groupBy((slot / 8).cast("long").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
-    return out
-
-
 def tiles(doc_pos: np.ndarray, item_pos: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling from seeds: (document position, item position, words) of each tile.
 
@@ -68,8 +60,6 @@ def tiles(doc_pos: np.ndarray, item_pos: np.ndarray, size: int) -> list[tuple[in
     new = np.flatnonzero(np.concatenate([[True], (np.diff(d - i) != 0) | (np.diff(i) != 1)]))
     length = np.diff(np.concatenate([new, [len(d)]])) + size - 1
     open_runs = [(-int(n), int(i[k]), int(d[k])) for k, n in zip(new, length, strict=True)]
-    import heapq
-
     heapq.heapify(open_runs)
     in_doc, in_item, found = set(), set(), []
     while open_runs:
@@ -102,15 +92,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     """
     spark = documents.sparkSession
     seeds = item_seeds(benchmark, size)
-    bits = spark.sparkContext.broadcast(_filter(seeds))
+    bits = spark.sparkContext.broadcast(sieve.build(seeds, "seed"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for batch in batches:
             for piece in pieces(batch):
                 text, place, h, _ = _seeds(piece, size)
-                slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = (known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                hit = sieve.holds(known, h)
                 ids = piece.column(0).take(pa.array(text[hit]))
                 yield pa.record_batch([ids, pa.array(place[hit]), pa.array(h[hit].view(np.int64))], names=["doc_id", "doc_pos", "seed"])
 
