@@ -433,24 +433,26 @@ def merge_policy(s, d):
 
 # --- rules, effects, folds, streams ---------------------------------------------
 
-PAY = rules.Rule(
-    "Paid",
-    [(F.col("event_type").isin("purchase", "error"), "Ignored"), (F.col("value") >= 5, "TooLittle")],
-    {"id": F.col("event_id"), "amount": F.col("value")},
-    {"TooLittle": {"id": F.col("event_id"), "amount": -F.col("value")}},
-)
+
+def payment() -> rules.Rule:
+    return rules.Rule(
+        "Paid",
+        [(F.col("event_type").isin("purchase", "error"), "Ignored"), (F.col("value") >= 5, "TooLittle")],
+        {"id": F.col("event_id"), "amount": F.col("value")},
+        {"TooLittle": {"id": F.col("event_id"), "amount": -F.col("value")}},
+    )
 
 
 @query("""SELECT event_id, CASE WHEN event_type NOT IN ('purchase', 'error') THEN 'Ignored' WHEN value < 5 THEN 'TooLittle' END AS recall,
 CASE WHEN event_type IN ('purchase', 'error') AND value >= 5 THEN 'normal' ELSE 'check' END AS exit FROM events""")
 def check_else_recall(s, d):
-    return PAY.judged(load(s, d, "events")).select("event_id", "recall", "exit")
+    return payment().judged(load(s, d, "events")).select("event_id", "recall", "exit")
 
 
 @query("""SELECT 'Paid' AS effect, event_id AS id, value AS amount, FALSE AS recalled FROM events WHERE event_type IN ('purchase', 'error') AND value >= 5
 UNION ALL SELECT 'TooLittle', event_id, -value, TRUE FROM events WHERE event_type IN ('purchase', 'error') AND value < 5""")
 def recall_effects(s, d):
-    return PAY.emitted(load(s, d, "events"))
+    return payment().emitted(load(s, d, "events"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'error')),
