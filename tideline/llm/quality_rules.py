@@ -94,7 +94,9 @@ def metrics(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...]
         F.size(F.filter("_words", lambda w: F.lower(w).isin(list(stop_words)))).cast("long").alias("n_stop_words"),
     )
     keys, n_repeat = repeat_words(F.col("_words"), F.col("n_words"))
-    step = step.withColumn("_keys", F.when(F.col("n_words") >= 3, keys).otherwise(F.array().cast("array<bigint>")))
+    # always true, and not deterministic: a caller's filter stays above this step instead of working out the keys for each word
+    once = F.monotonically_increasing_id() >= 0
+    step = step.withColumn("_keys", F.when(once & (F.col("n_words") >= 3), keys).otherwise(F.array().cast("array<bigint>")))
     return step.withColumn("n_repeat_words", n_repeat).drop("_words", "_keys")
 
 
@@ -116,9 +118,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with docs' own columns, ids repeated or null alike."""
     own = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("text"))
-    # the row number holds the filter above the projection: below it, every metric would be worked out anew wherever it is used
-    judged = judge(boxed).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
-    return judged.filter("kept AND _n >= 0").select("_row.*")
+    return judge(boxed).filter("kept").select("_row.*")
 
 
 def op8(documents: DataFrame) -> DataFrame:
