@@ -127,7 +127,7 @@ def sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 cls = (OWN + k).astype(np.int16)
                 cls[hit] = v.classes[at[hit]]
                 text, rare = w.text_of, ~hit
-                add = lambda x, on: np.bincount(text[on], x, rows)  # noqa: B023, E731
+                add = lambda x, on: np.bincount(text[on], x, rows).astype(np.float64)  # noqa: B023, E731
                 every = np.zeros(len(cls) + rows, np.int16)  # the end mark is class 0
                 every[np.arange(len(cls)) + text] = cls
                 yield pa.record_batch(

@@ -71,7 +71,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             for piece in pieces(batch):
                 text, bucket = _grams(piece.column(1))
                 yield pa.record_batch(
-                    [piece.column(0), pa.array(np.bincount(text, ratio[bucket], piece.num_rows)), pa.array(np.bincount(text, minlength=piece.num_rows))],
+                    [piece.column(0), pa.array(np.bincount(text, ratio[bucket], piece.num_rows).astype(np.float64)), pa.array(np.bincount(text, minlength=piece.num_rows))],
                     names=["doc_id", "log_weight", "n_grams"],
                 )
 

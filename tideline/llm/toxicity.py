@@ -48,9 +48,14 @@ def fold(id_col: str, folds: int = 3) -> Column:
 
 
 def _sample(rows: DataFrame, limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` ids, by hash: the same whatever the partitions."""
+    """At most ``limit`` ids, the first by hash: the same whatever the partitions.
+    Hashes beyond twice the share that is wanted aren't sorted at all."""
+    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    return rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(key, "doc_id").limit(limit)
+    share = 2 * (limit + 1000) / max(ids.count(), 1)
+    if share < 1:
+        ids = ids.filter(F.call_function("shiftrightunsigned", key, F.lit(11)) < F.lit(int(share * (1 << 53))))
+    return ids.orderBy(F.call_function("shiftrightunsigned", key, F.lit(11)), "doc_id").limit(limit)
 
 
 def sample(documents: DataFrame, labels: DataFrame, training: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float]:
