@@ -169,6 +169,20 @@ def test_repeats(spark):
     assert not got[first, True] and all(got[i, True] for i in range(301, 306))
 
 
+def test_repeats_of_the_shortest_passages(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in range(50, 61):  # each passage whole in some documents, a part of it in others, by no order of ids
+        w = prose(rng, n).split()
+        for k in range(9):
+            begin, end = (0, n) if k % 3 else (rng.randrange(12), n - rng.randrange(12))
+            rows.append((rng.randrange(10**6), f"{prose(rng, 20)} {' '.join(w[begin:end])} {prose(rng, 20)}", "en", "a", 0))
+    got = collections.defaultdict(set)
+    for r in suffixes.op5(frame(spark, rows)).collect():
+        got[r.doc_id, r.repeat].update(range(r.word_start, r.word_end))
+    assert got == repeated(rows)
+
+
 def test_repeats_leave_texts_alone_that_only_repeat_themselves(spark):
     rng = random.Random(1)
     line = prose(rng, 60)

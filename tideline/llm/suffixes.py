@@ -2,18 +2,19 @@
 
 Of all suffixes (a text from some word on) only those are retained that begin
 at a minimiser: the smallest hash of a word 5-gram within a window. A passage
-that two documents share has its minimisers in both. Retained suffixes are
-sorted by hashes of their first words, a few lengths of them, so that those that
-agree longest stand together; neighbours of different documents that agree for
-LEAST words are matches. Matches on one diagonal are chained, and each chain is
-extended word by word to the left and right on the two texts. What reaches
-LENGTH words is a repeated passage.
-
-Rows are small (two hashes, an id, a place); a run of equal suffixes passes
-through its task as a stream in which only the current document's rows are held,
-so a passage in a third of all documents needs no more memory than any other.
-Texts are only joined to pairs of documents that have matches, of which a
-document has a few however many others share its passages.
+that two documents share has its minimisers in both, so a first pass finds the
+retained suffixes whose first words a second document has too. A second pass
+takes each run of LENGTH words whose first minimiser is among those, by hash. In
+order of hash and document each run meets its equals in the nearest documents on
+either side: every run of LENGTH words that a smaller id has meets one there.
+Matches on one diagonal are chained, and each chain is extended word by word to
+the left and right on the two texts.
+
+Rows are small (a hash, an id, a place); equal runs pass through their task as a
+stream in which only the current document's rows are held, so a passage in a
+third of all documents needs no more memory than any other. Texts are only
+joined to pairs of documents that have matches, of which a document has a few
+however many others share its passages.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import sieve
 from .words import Words, mix, pieces, runs, words
 
 LENGTH = 50
@@ -38,47 +40,66 @@ def _least(length: int, window: int) -> int:
     return length - window + 1
 
 
-def minimisers(w: Words, gram: int, window: int) -> np.ndarray:
-    """Word places of the leftmost smallest ``gram``-gram hash of each window."""
+def _lowest(w: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``gram``-grams the word place of the leftmost smallest
+    hash, and whether the window lies inside one text."""
     g = mix(runs(w.hash, gram))
     if len(g) < window:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     low = np.lib.stride_tricks.sliding_window_view(g, window).argmin(1) + np.arange(len(g) - window + 1)
     text = w.text_of
-    inside = text[: len(low)] == text[window + gram - 2 : window + gram - 2 + len(low)]
+    return low, text[: len(low)] == text[window + gram - 2 : window + gram - 2 + len(low)]
+
+
+def minimisers(w: Words, gram: int, window: int) -> np.ndarray:
+    """Word places of the leftmost smallest ``gram``-gram hash of each window."""
+    low, inside = _lowest(w, gram, window)
     return np.unique(low[inside])
 
 
 def _suffixes(batch: pa.RecordBatch, length: int, window: int) -> pa.RecordBatch:
+    """(h, doc): hashes of the first words of the suffixes retained, once for a text."""
     w = words(batch.column(1))
     least = _least(length, window)
     at = minimisers(w, GRAM, window)
     text = w.text_of[at] if len(at) else np.zeros(0, np.int64)
-    place = at - w.splits[text]
-    on = place + least <= w.counts[text]
-    at, text, place = at[on], text[on], place[on]
+    on = at - w.splits[text] + least <= w.counts[text]
+    at, text = at[on], text[on]
     h = runs(w.hash, least)[at] if len(at) else np.zeros(0, np.uint64)
-    more = np.zeros(len(at), np.uint64)  # hashes of longer beginnings, shorter first
-    for step in (least + (length - least) // 3, least + 2 * (length - least) // 3, length):
-        r = runs(w.hash, step)
-        there = place + step <= w.counts[text]
-        part = np.zeros(len(at), np.uint64)
-        part[there] = (r[at[there]] >> np.uint64(43)) | np.uint64(1)
-        more = more << np.uint64(21) | part
-    # of a text that repeats itself word by word, one suffix in ``least`` words stands for its equals
-    key = np.lexsort((place, place // least, more, h, text))
-    same = np.zeros(len(key), bool)
-    if len(key) > 1:
-        a, b = key[:-1], key[1:]
-        same[1:] = (text[a] == text[b]) & (h[a] == h[b]) & (more[a] == more[b]) & (place[a] // least == place[b] // least)
-    key = key[~same]
-    ids = batch.column(0).take(pa.array(text[key]))
-    return pa.record_batch([pa.array(h[key].view(np.int64)), pa.array((more[key] >> np.uint64(1)).view(np.int64)), ids, pa.array(place[key].astype(np.int32))], names=["h", "more", "doc", "place"])
+    key = np.lexsort((h, text))
+    h, text = h[key], text[key]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return pa.record_batch([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(text[new]))], names=["h", "doc"])
+
+
+def _passages(batch: pa.RecordBatch, length: int, window: int, bits: np.ndarray) -> pa.RecordBatch:
+    """(h, doc, place) of the runs of ``length`` words whose first minimiser's suffix may be shared."""
+    w = words(batch.column(1))
+    n = max(len(w.hash) - length + 1, 0)
+    low = _lowest(w, GRAM, window)[0][:n]
+    text = w.text_of
+    place = np.flatnonzero(text[:n] == text[length - 1 : length - 1 + n])
+    at = np.unique(low[place])
+    held = np.zeros(len(text), bool)
+    if len(at):
+        held[at] = sieve.holds(bits, runs(w.hash, _least(length, window))[at])
+    place = place[held[low[place]]]
+    h = runs(w.hash, length)[place] if len(place) else np.zeros(0, np.uint64)
+    text = text[place]
+    place = place - w.splits[text]
+    # of a text that repeats itself word by word, the first and last of equal runs in ``length`` words cover all between
+    key = np.lexsort((place, h, text))
+    h, text, place = h[key], text[key], place[key]
+    ends = np.ones(len(key) + 1, bool)
+    ends[1:-1] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (place[1:] // length != place[:-1] // length)
+    on = ends[1:] | ends[:-1]
+    return pa.record_batch([pa.array(h[on].view(np.int64)), batch.column(0).take(pa.array(text[on])), pa.array(place[on].astype(np.int32))], names=["h", "doc", "place"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes in order: (a, pa, b, pb) of each suffix and the nearest ones
-    of another document on either side, where their first words agree; a < b.
+    """From runs of words in order of h and doc: (a, pa, b, pb) of each and the
+    nearest equal ones of another document on either side, once each; a < b.
 
     Held between batches: the rows of the last document in the run, and the one
     before them.
@@ -95,7 +116,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nxt = starts[np.searchsorted(starts, np.arange(n), "right")]
         i = np.arange(done, upto)
         before, after = first[i] - 1, nxt[i]
-        l1, l2 = i[(before >= 0) & (h[before] == h[i])], i[(after < n) & (h[np.minimum(after, n - 1)] == h[i])]
+        l1, l2 = i[(before >= 0) & (h[before] == h[i])], i[(after < n) & (h[np.minimum(after, n - 1)] == h[i]) & (after > i + 1)]
         x, y = np.concatenate([l1, l2]), np.concatenate([first[l1] - 1, nxt[l2]])
         swap = doc[x] > doc[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -104,7 +125,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, place = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, k in zip(held, (0, 2, 3), strict=True))
+        h, doc, place = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, k in zip(held, ("h", "doc", "place"), strict=True))
         last = np.flatnonzero((h != h[-1]) | (doc != doc[-1]))
         begin = int(last[-1]) + 1 if len(last) else 0  # of the last document's rows
         if begin > context:
@@ -116,7 +137,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*held, context, len(held[0]))
 
 
-def _chains(least: int) -> Callable:
+def _chains(length: int) -> Callable:
     """Joins matches in order of (a, b, diagonal, place) into one row for as long
     as each begins inside the one before it: (a, b, pa, pb, n)."""
 
@@ -125,7 +146,7 @@ def _chains(least: int) -> Callable:
         names = ["a", "b", "pa", "pb", "n"]
 
         def out(x: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x[0]), pa.array(x[1]), pa.array(x[3]), pa.array(x[3] - x[2]), pa.array(x[4] - x[3] + least)], names=names)
+            return pa.record_batch([pa.array(x[0]), pa.array(x[1]), pa.array(x[3]), pa.array(x[3] - x[2]), pa.array(x[4] - x[3] + length)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -133,7 +154,7 @@ def _chains(least: int) -> Callable:
             a, b, d, p = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
             rows = np.concatenate([held, np.stack([a, b, d, p, p])], axis=1)
             new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(0) | (rows[3, 1:] > rows[4, :-1] + least)
+            new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(0) | (rows[3, 1:] > rows[4, :-1] + length)
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], rows.shape[1]) - 1
             chains = np.concatenate([rows[:4, starts], rows[4:, ends]])
@@ -205,14 +226,12 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
 
     repeat is true where a document with a smaller id has the passage; a document
     can have stretches of both kinds. other_id is the smallest id it was matched
-    with. A text is compared with its neighbours in suffix order, so any passage
-    of length + window - 1 words is found, and a shorter one of ``length`` words
-    unless another text agrees longer to its right but not to its left. Passages
-    that only one document repeats are left alone. Null and empty texts, texts
-    under ``length`` words and rows without an id have no passages; rows that share a doc_id
-    are one document. Other columns are ignored.
+    with. Every passage of ``length`` words is found, as is whether a smaller and
+    whether a larger id has it. Passages that only one document repeats are left
+    alone. Null and empty texts, texts under ``length`` words and rows without an
+    id have no passages; rows that share a doc_id are one document. Other columns
+    are ignored.
     """
-    least = _least(length, window)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +239,19 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
             for piece in pieces(batch):
                 yield _suffixes(piece, length, window)
 
-    suffixes = docs.mapInArrow(scan, "h long, more long, doc long, place int")
-    ordered = suffixes.repartition("h").sortWithinPartitions("h", "more", "doc", "place")
-    matches = ordered.mapInArrow(_neighbours, "a long, pa long, b long, pb long").distinct()
+    def scan_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                yield _passages(piece, length, window, bits.value)
+
+    suffixes = docs.mapInArrow(scan, "h long, doc long")
+    shared = suffixes.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
+    bits = documents.sparkSession.sparkContext.broadcast(sieve.build(shared, "h"))
+    passages = docs.mapInArrow(scan_again, "h long, doc long, place int")
+    ordered = passages.repartition("h").sortWithinPartitions("h", "doc", "place")
+    matches = ordered.mapInArrow(_neighbours, "a long, pa long, b long, pb long")
     along = matches.select("a", "b", (F.col("pa") - F.col("pb")).alias("d"), "pa").repartition("a", "b").sortWithinPartitions("a", "b", "d", "pa")
-    chains = along.mapInArrow(_chains(least), "a long, b long, pa long, pb long, n long")
+    chains = along.mapInArrow(_chains(length), "a long, b long, pa long, pb long, n long")
     pairs = cut(chains.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb", "n")).alias("chains")))
     full = pairs.join(docs.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
     full = full.join(docs.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "chains", "x", "y")
