@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures import awkward, components, frame, prose, repeated, words
+from fixtures import awkward, components, frame, prose, repeated, shingle_set, words
 
 from tideline.llm import decontaminate, graph, hmm, importance, jaccard, licenses, suffixes, toxicity
 from tideline.llm.words import words as split
@@ -124,6 +124,24 @@ def test_jaccard_join(spark, rows):
     assert collections.Counter((r.doc_id, r.n_shingles) for r in got) == sizes
 
 
+def test_jaccard_links(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [prose(rng, n).split() for n in (120, 200)]
+    rows = [(k, " ".join(base[k % 2]), "en", "a", 0) for k in range(4)]
+    for k in range(40):
+        w = list(base[k % 2])
+        for _ in range(1 + k % 3):
+            w[rng.randrange(len(w))] = f"changed{k}"
+        rows.append((100 + k, " ".join(w), "en", "a", 0))
+    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    classes = set(sets.values())
+    want = {i: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in classes) for i, x in sets.items()}
+    assert max(want.values()) > 10
+    for block in (1000, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+        assert {r.doc_id: r.n_links for r in jaccard.op3(frame(spark, rows)).collect()} == want
+
+
 def test_postings_in_any_batches():
     rng = random.Random(0)
     rows = sorted((rng.randrange(12), rng.randrange(30), 5, 0) for _ in range(80))

@@ -8,16 +8,18 @@
 3. Candidates pass the length filter (set sizes), the positional filter (what
    can still follow the shared token), and at verification the suffix filter
    (sizes between pivots bound the overlap) before sets are intersected.
-4. In each token's posting list every class first meets only the list's
-   smallest id; the links found merge most classes. Then classes that share a
-   token but are not yet connected meet each other. A large group of copies thus
-   costs as many pairs as it has members, and no link that could change a
-   component is left out.
+4. All members of a posting list meet each other, long lists in blocks dealt by a
+   hash; of equal lists only that of the rarest token counts. Where only the
+   components are asked for, every class first meets only its lists' smallest
+   ids; the links found merge most classes, and then classes that share a token
+   but are not yet connected meet each other. A large group of copies then costs
+   as many pairs as it has members, and no link that could change a component is
+   left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -35,6 +37,7 @@ PERCENT = 80
 SLOT_BITS = 20  # of the frequency sketch, whatever the corpus: a megabyte as sent out
 CHUNK = 4096
 PIVOTS = 16
+BLOCK = 1000  # members of a posting list that meet each other in one group
 
 
 def _sets(texts: pa.Array, size: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +200,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(full.mapInArrow(look, "a long, b long").distinct())
 
 
-def join(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def _pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of classes that share a token and may be similar.
+
+    A similar pair's first shared token is the first of all tokens with its
+    posting list, so that one is enough of equal lists.
+    """
+    unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
+    sums = [F.sum(F.xxhash64("doc_id", "n", F.lit(salt)).cast("decimal(38,0)")).alias(f"s{salt}") for salt in (0, 1)]
+    alike = postings.groupBy("token").agg(F.count("*").alias("size"), F.first("lead").alias("lead"), *sums)
+    alike = cut(alike.groupBy("size", "lead", "s0", "s1").agg(F.min_by("token", unsigned).alias("token")).select("token", "size"))
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = postings.drop("lead").join(alike, "token").withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    rows = cut(rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("size", "other"))
+    right = rows.filter("block = hi").select("token", "lo", "hi", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
+    met = rows.filter("block = lo").join(right, ["token", "lo", "hi"]).filter("doc_id < b OR lo < hi AND doc_id > b").filter(_able("n", "pos", "bn", "bp", percent))
+    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+
+
+def _connecting(postings: DataFrame, percent: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Enough of the links (a, b) to connect all classes that links connect."""
+    leads = postings.filter("doc_id = lead").select("token", F.col("n").alias("an"), F.col("pos").alias("ap"))
+    first = (
+        postings.filter("doc_id <> lead").join(leads, "token").filter(_able("an", "ap", "n", "pos", percent))
+        .select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    )
+    first = cut(first)
+    links = verified(first)
+
+    merged = postings.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    merged = cut(merged.select("token", "doc_id", "n", "pos", "component"))
+    mixed = merged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    left = cut(merged.join(mixed, "token"))
+    right = left.select("token", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("component").alias("bc"))
+    rest = (
+        left.join(right, "token").filter("component < bc").filter(_able("n", "pos", "bn", "bp", percent))
+        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    )
+    return links.union(verified(cut(rest)))
+
+
+def join(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, every: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links for each row of documents.
 
     component_id is the smallest doc_id reachable by links, class_id the smallest
-    with the same set, n_links how many verified links to other classes were
-    needed to connect the document's class (copies of its own set not counted).
+    with the same set, n_links how many other classes are similar to the document's
+    (copies of its own set not counted); without ``every`` only the links that
+    were verified to connect it, the rest being the same.
     A null or empty text has the empty set and is linked with nothing; its
     component is its own id. Rows that share a doc_id are one node of the graph.
     Rows without an id take the component of an equal set, if any. Other columns
@@ -226,24 +270,7 @@ def join(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Data
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         return _verified(pairs, _sets_of(docs, ids, size, rank), percent)
 
-    leads = postings.filter("doc_id = lead").select("token", F.col("n").alias("an"), F.col("pos").alias("ap"))
-    first = (
-        postings.filter("doc_id <> lead").join(leads, "token").filter(_able("an", "ap", "n", "pos", percent))
-        .select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    )
-    first = cut(first)
-    links = verified(first)
-
-    merged = postings.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    merged = cut(merged.select("token", "doc_id", "n", "pos", "component"))
-    mixed = merged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    left = cut(merged.join(mixed, "token"))
-    right = left.select("token", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("component").alias("bc"))
-    rest = (
-        left.join(right, "token").filter("component < bc").filter(_able("n", "pos", "bn", "bp", percent))
-        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    links = links.union(verified(cut(rest)))
+    links = verified(cut(_pairs(postings, percent))) if every else _connecting(postings, percent, verified)
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = classes.join(found.join(degree, "node", "left").withColumnRenamed("node", "rep"), "rep", "left")
@@ -261,7 +288,7 @@ def keep_one(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     an id the one with the least text stays, in the order of strings.
     """
     own = documents.columns
-    keep = join(documents, size, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = join(documents, size, percent, every=False).filter("doc_id = component_id").select("doc_id").distinct()
     rows = documents.join(keep, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id"))
     whole = F.struct(*[F.col(f"`{c}`") for c in own])
     kept = rows.agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
