@@ -34,3 +34,8 @@ def test_query(name, spark, duck):
 
 def test_every_query_has_sql():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
+
+
+def test_graphs_of_chains_do_not_meet_in_one_task(spark):
+    plan = catalog.queries()["braid_graphs"](spark, SF)._jdf.queryExecution().toString()
+    assert "InPandas" not in plan

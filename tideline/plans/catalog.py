@@ -336,9 +336,11 @@ def braid_order(s, d):
 
 @query(LOG_SQL + " SELECT user_id % 16 AS graph_id, event_id AS id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY rk DESC, d DESC) AS position FROM log")
 def braid_graphs(s, d):
-    commands, edges = chains(s, d)
-    commands = commands.select((F.col("graph_id") % 16).alias("graph_id"), "id", F.lit(1).alias("priority_rank"), priority().alias("priority_n"))
-    return braid.braid(commands, edges.withColumn("graph_id", F.col("graph_id") % 16))
+    """Each graph is many chains, so their keys order it; positions start anew in each."""
+    rows = log(s, d).select((F.col("user_id") % 16).alias("graph_id"), F.col("event_id").alias("id"), "rk", "d")
+    placed = braid.positions(rows, [F.col("graph_id"), F.desc("rk"), F.desc("d")])
+    before = placed.groupBy("graph_id").agg((F.min("position") - 1).alias("_before"))
+    return placed.join(before, "graph_id").select("graph_id", "id", (F.col("position") - F.col("_before")).alias("position"))
 
 
 @query(LOG_SQL + """, numbered AS (SELECT event_id % 10 AS name, event_id, row_number() OVER (PARTITION BY event_id % 10 ORDER BY rk DESC, d DESC) AS n FROM log WHERE event_type = 'signup')
