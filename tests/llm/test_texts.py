@@ -138,7 +138,8 @@ def test_jaccard_links(spark, monkeypatch):
     want = {i: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in classes) for i, x in sets.items()}
     assert max(want.values()) > 10
     for block in (1000, 7):
-        monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "MEMBERS", block)
         assert {r.doc_id: r.n_links for r in jaccard.op3(frame(spark, rows)).collect()} == want
 
 
@@ -230,8 +231,28 @@ def test_neighbours_in_any_batches():
                 want.add(tuple(sorted([(doc, place), (rows[j][2], rows[j][3])])))
     for size in (1, 2, 9, 60):
         batches = [pa.record_batch([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], names=["h", "more", "doc", "place"]) for k in range(0, 60, size)]
-        got = {((r["a"], r["pa"]), (r["b"], r["pb"])) for b in suffixes._neighbours(iter(batches)) for r in b.to_pylist()}
-        assert got == want
+        out = [r for b in suffixes._neighbours(iter(batches)) for r in b.to_pylist()]
+        assert {((r["a"], r["pa"]), (r["b"], r["pb"])) for r in out if not r["edge"]} == want
+        ends = {side: sorted((r["h"], r["a"], r["pa"]) for r in out if r["edge"] == side) for side in (-1, 1)}
+        for side, (h, _, doc, _) in ((-1, rows[0]), (1, rows[-1])):
+            assert ends[side] == [(x[0], x[2], x[3]) for x in rows if (x[0], x[2]) == (h, doc)]
+
+
+def test_a_passage_of_very_many_documents_is_matched_across_tasks(spark):
+    rng = random.Random(12)
+    w = prose(rng, 55)
+    rows = [(rng.randrange(10**6), f"{prose(rng, 20)} {w} {prose(rng, 20)}", "en", "a", 0) for _ in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = collections.defaultdict(set)
+        for r in suffixes.op5(frame(spark, rows)).collect():
+            got[r.doc_id, r.repeat].update(range(r.word_start, r.word_end))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == repeated(rows)
 
 
 # --- 6 language model --------------------------------------------------------------

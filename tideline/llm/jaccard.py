@@ -8,13 +8,13 @@
 3. Candidates pass the length filter (set sizes), the positional filter (what
    can still follow the shared token), and at verification the suffix filter
    (sizes between pivots bound the overlap) before sets are intersected.
-4. All members of a posting list meet each other, long lists in blocks dealt by a
-   hash; of equal lists only that of the rarest token counts. Where only the
-   components are asked for, every class first meets only its lists' smallest
-   ids; the links found merge most classes, and then classes that share a token
-   but are not yet connected meet each other. A large group of copies then costs
-   as many pairs as it has members, and no link that could change a component is
-   left out.
+4. Every class first meets only its lists' smallest ids; the links found merge
+   most classes, and then classes that share a token but are not yet connected
+   meet each other, long lists in blocks. So no link that could change a
+   component is left out.
+5. Links lie inside components, so they are counted there: a component's sets are
+   dealt into blocks of bounded size, each pair of blocks meets in one task, and a
+   task gives each class's number of similar ones, never the pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SLOT_BITS = 20  # of the frequency sketch, whatever the corpus: a megabyte as se
 CHUNK = 4096
 PIVOTS = 16
 BLOCK = 1000  # members of a posting list that meet each other in one group
+MEMBERS, MEMBER_TOKENS = 1024, 1 << 20  # about as many sets, and tokens of theirs, are a block of a component
+RARE, COLUMNS = 16, 2048
 
 
 def _sets(texts: pa.Array, size: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -200,44 +202,107 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(full.mapInArrow(look, "a long, b long").distinct())
 
 
-def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of classes that share a token and may be similar.
+def _dealt(rows: DataFrame, blocks: Column, salt: str) -> DataFrame:
+    """rows once for each pair of blocks that theirs is in: block, lo, hi. Any two
+    rows of different blocks meet under one (lo, hi), those of one block under lo = hi."""
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64(salt), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
 
-    A similar pair's first shared token is the first of all tokens with its
-    posting list, so that one is enough of equal lists.
-    """
-    unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
-    sums = [F.sum(F.xxhash64("doc_id", "n", F.lit(salt)).cast("decimal(38,0)")).alias(f"s{salt}") for salt in (0, 1)]
-    alike = postings.groupBy("token").agg(F.count("*").alias("size"), F.first("lead").alias("lead"), *sums)
-    alike = cut(alike.groupBy("size", "lead", "s0", "s1").agg(F.min_by("token", unsigned).alias("token")).select("token", "size"))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = postings.drop("lead").join(alike, "token").withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    rows = cut(rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("size", "other"))
-    right = rows.filter("block = hi").select("token", "lo", "hi", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
-    met = rows.filter("block = lo").join(right, ["token", "lo", "hi"]).filter("doc_id < b OR lo < hi AND doc_id > b").filter(_able("n", "pos", "bn", "bp", percent))
-    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-
-
-def _connecting(postings: DataFrame, percent: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Enough of the links (a, b) to connect all classes that links connect."""
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def _connecting(postings: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Enough of the links (a, b) to connect all classes that links connect, and
+    the sets that were looked at, among them those of all linked classes; a set
+    may come twice."""
     leads = postings.filter("doc_id = lead").select("token", F.col("n").alias("an"), F.col("pos").alias("ap"))
     first = (
         postings.filter("doc_id <> lead").join(leads, "token").filter(_able("an", "ap", "n", "pos", percent))
         .select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     )
     first = cut(first)
-    links = verified(first)
+    seen = cut(_ids(first))
+    sets = sets_of(seen)
+    links = _verified(first, sets, percent)
 
     merged = postings.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     merged = cut(merged.select("token", "doc_id", "n", "pos", "component"))
-    mixed = merged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    left = cut(merged.join(mixed, "token"))
-    right = left.select("token", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("component").alias("bc"))
+    mixed = merged.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).filter("least < most")
+    rows = cut(_dealt(merged.join(mixed.select("token", "size"), "token"), F.ceil(F.col("size") / BLOCK), "doc_id").drop("size"))
+    right = rows.filter("block = hi").select("token", "lo", "hi", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("component").alias("bc"))
     rest = (
-        left.join(right, "token").filter("component < bc").filter(_able("n", "pos", "bn", "bp", percent))
+        rows.filter("block = lo").join(right, ["token", "lo", "hi"]).filter("component < bc OR lo < hi AND component > bc")
+        .filter(_able("n", "pos", "bn", "bp", percent))
         .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     )
-    return links.union(verified(cut(rest)))
+    rest = cut(rest)
+    sets = sets.union(sets_of(cut(_ids(rest).join(seen, "doc_id", "left_anti"))))
+    return links.union(_verified(rest, sets, percent)), sets
+
+
+def _overlaps(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many tokens each two of the sets share; n are their sizes."""
+    m = len(n)
+    _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), n)
+    out = np.zeros((m, m), np.float32)
+    often = np.flatnonzero(count > RARE)
+    for k in range(0, len(often), COLUMNS):  # tokens of many sets: products of bit matrices
+        column = np.full(len(count), -1, np.int64)
+        part = often[k : k + COLUMNS]
+        column[part] = np.arange(len(part))
+        on = column[code] >= 0
+        bits = np.zeros((m, len(part)), np.float32)
+        bits[row[on], column[code[on]]] = 1
+        out += bits @ bits.T
+    rare = np.flatnonzero((count[code] > 1) & (count[code] <= RARE))  # tokens of few sets: their pairs
+    order = rare[np.argsort(code[rare], kind="stable")]
+    code, row = code[order], row[order]
+    met = [np.zeros(0, np.int64)]
+    for k in range(1, RARE):
+        on = np.flatnonzero(code[k:] == code[: max(len(code) - k, 0)])
+        met.append(row[on] * m + row[on + k])
+    few = np.bincount(np.concatenate(met), minlength=m * m).reshape(m, m)
+    return out.astype(np.int64) + few + few.T
+
+
+def _degrees(percent: int) -> Callable:
+    """Of the sets of two blocks of a component: (doc_id, n), the number of
+    similar ones each has in the other block, or for a single block in its own."""
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("doc_id")
+        doc, block = (table.column(k).to_numpy() for k in ("doc_id", "block"))
+        lists_of = table.column("tokens").combine_chunks()
+        n = lists_of.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        both = _overlaps(lists_of.flatten().to_numpy(zero_copy_only=False), n)
+        size = n[:, None] + n[None, :]
+        linked = (100 + percent) * both >= percent * size
+        linked &= doc[:, None] != doc[None, :]
+        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+            linked &= block[:, None] != block[None, :]
+        ids, first = np.unique(doc, return_index=True)
+        if len(ids) < len(doc):  # several sets of one id, or a set that came twice
+            linked = np.add.reduceat(np.add.reduceat(linked, first, 0, dtype=np.int64), first, 1) > 0
+        return pa.table({"doc_id": ids, "n": linked.sum(1).astype(np.int64)})
+
+    return count
+
+
+def _link_counts(found: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(node, n_links) of each linked class. sizes: (rep, n) of all classes."""
+    nodes = found.join(sizes.withColumnRenamed("rep", "node"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / MEMBER_TOKENS))
+    large = nodes.groupBy("component").agg(F.countDistinct("node").alias("members"), blocks.alias("blocks")).filter("members > 2")
+    where = cut(found.join(large.select("component", "blocks"), "component").withColumnRenamed("node", "doc_id"))
+    dealt = _dealt(sets.join(where, "doc_id"), F.col("blocks"), "doc_id").select("component", "lo", "hi", "doc_id", "block", "tokens")
+    counted = dealt.groupBy("component", "lo", "hi").applyInArrow(_degrees(percent), "doc_id long, n long")
+    many = counted.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n_links"))
+    # of a component of two, the one link is known
+    two = found.join(where.select(F.col("doc_id").alias("node")), "node", "left_anti").select("node", F.lit(1).cast("long").alias("n_links"))
+    return many.union(two)
 
 
 def join(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, every: bool = True) -> DataFrame:
@@ -245,8 +310,8 @@ def join(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, every:
 
     component_id is the smallest doc_id reachable by links, class_id the smallest
     with the same set, n_links how many other classes are similar to the document's
-    (copies of its own set not counted); without ``every`` only the links that
-    were verified to connect it, the rest being the same.
+    (copies of its own set not counted); without ``every`` links aren't counted, and
+    n_links is null for a document that has any.
     A null or empty text has the empty set and is linked with nothing; its
     component is its own id. Rows that share a doc_id are one node of the graph.
     Rows without an id take the component of an equal set, if any. Other columns
@@ -266,18 +331,16 @@ def join(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, every:
     ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id")
     postings = cut(ordered.mapInArrow(_shared, "token long, doc_id long, n long, pos long, lead long"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return _verified(pairs, _sets_of(docs, ids, size, rank), percent)
-
-    links = verified(cut(_pairs(postings, percent))) if every else _connecting(postings, percent, verified)
-    found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links, sets = _connecting(postings, percent, lambda ids: _sets_of(docs, ids, size, rank))
+    found = cut(components(links))
+    sizes = classes.filter("rep IS NOT NULL").select("rep", "n")
+    degree = _link_counts(found, sets, sizes, percent) if every else found.select("node", F.lit(None).cast("long").alias("n_links"))
     known = classes.join(found.join(degree, "node", "left").withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("f1", "f2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = F.when(F.col("component").isNull(), F.lit(0).cast("long"))
+    known = known.select("f1", "f2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", alone).alias("n_links"), F.lit(True).alias("_known"))
     return each.join(known, ["f1", "f2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("_known"), F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"),
     )
 
 

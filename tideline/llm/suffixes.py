@@ -10,9 +10,10 @@ either side: every run of LENGTH words that a smaller id has meets one there.
 Matches on one diagonal are chained, and each chain is extended word by word to
 the left and right on the two texts.
 
-Rows are small (a hash, an id, a place); equal runs pass through their task as a
-stream in which only the current document's rows are held, so a passage in a
-third of all documents needs no more memory than any other. Texts are only
+Rows are small (a hash, an id, a place) and are dealt by ranges of hash and
+document, so the runs of a passage in a third of all documents spread over many
+tasks; only the rows at a task's ends are matched with those of the next one.
+They pass through as a stream in which only the current document's rows are held. Texts are only
 joined to pairs of documents that have matches, of which a document has a few
 however many others share its passages.
 """
@@ -23,8 +24,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 from . import sieve
@@ -33,6 +36,7 @@ from .words import Words, mix, pieces, runs, words
 LENGTH = 50
 GRAM = 5
 WINDOW = 12
+NEIGHBOUR_NAMES = ["a", "pa", "b", "pb", "edge", "part", "h"]
 
 
 def _least(length: int, window: int) -> int:
@@ -102,10 +106,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nearest equal ones of another document on either side, once each; a < b.
 
     Held between batches: the rows of the last document in the run, and the one
-    before them.
+    before them. The rows of the task's first and last document come once more,
+    with edge = -1 or 1, the task's number and h, as (doc, place) in (a, pa).
     """
     held = [np.zeros(0, np.int64)] * 3
     context = 0  # 1 if the first held row is only there as a neighbour
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    start, opening = None, True  # (h, doc) of the task's first rows; whether they may go on
+
+    def edge(side: int, h, doc, place) -> pa.RecordBatch:
+        none = pa.nulls(len(h), pa.int64())
+        return pa.record_batch([pa.array(doc), pa.array(place), none, none, pa.array(np.full(len(h), side, np.int32)), pa.array(np.full(len(h), part, np.int32)), pa.array(h)], names=NEIGHBOUR_NAMES)
 
     def pairs(h, doc, place, done: int, upto: int) -> pa.RecordBatch:
         n = len(h)
@@ -120,11 +131,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = np.concatenate([l1, l2]), np.concatenate([first[l1] - 1, nxt[l2]])
         swap = doc[x] > doc[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return pa.record_batch([pa.array(doc[x]), pa.array(place[x]), pa.array(doc[y]), pa.array(place[y])], names=["a", "pa", "b", "pb"])
+        zero = np.zeros(len(x), np.int32)
+        return pa.record_batch([*map(pa.array, (doc[x], place[x], doc[y], place[y], zero, zero + part, h[x]))], names=NEIGHBOUR_NAMES)
 
     for batch in batches:
         if not batch.num_rows:
             continue
+        if opening:
+            own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "doc", "place")]
+            start = start or (own[0][0], own[1][0])
+            first = (own[0] == start[0]) & (own[1] == start[1])
+            opening = bool(first.all())
+            yield edge(-1, *(c[first] for c in own))
         h, doc, place = (np.concatenate([old, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, k in zip(held, ("h", "doc", "place"), strict=True))
         last = np.flatnonzero((h != h[-1]) | (doc != doc[-1]))
         begin = int(last[-1]) + 1 if len(last) else 0  # of the last document's rows
@@ -135,6 +153,28 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [h[keep:], doc[keep:], place[keep:]]
     if len(held[0]) > context:
         yield pairs(*held, context, len(held[0]))
+        yield edge(1, *(c[context:] for c in held))
+
+
+def _matches(passages: DataFrame) -> DataFrame:
+    """(a, pa, b, pb) of equal runs of the nearest documents, whatever task they are in."""
+    kinds = "a long, pa long, b long, pb long, edge int, part int, h long"
+    ordered = passages.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "place")
+    rows = cut(ordered.mapInArrow(_neighbours, kinds))
+    last, first = (rows.filter(F.col("edge") == side).select("part", "h", F.col("a").alias("doc"), F.col("pa").alias("place")) for side in (1, -1))
+    parts = rows.filter("edge = -1").select("part").distinct()
+    # a row for each task that had rows
+    follows = parts.select("part", F.lead("part").over(Window.orderBy("part")).alias("next")).filter("next IS NOT NULL")
+    across = last.join(follows, "part").withColumnRenamed("part", "before").join(
+        first.select(F.col("part").alias("next"), "h", F.col("doc").alias("d2"), F.col("place").alias("p2")), ["next", "h"]
+    ).filter("doc <> d2")
+    # each row of either document with the nearest one of the other
+    ends = across.groupBy("before", "h", "doc", "d2").agg(F.max("place").alias("low"), F.min("p2").alias("high"))
+    met = across.join(ends, ["before", "h", "doc", "d2"]).filter("place = low OR p2 = high")
+    swap = F.col("doc") > F.col("d2")
+    a, b = (F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("d2", "doc"), ("doc", "d2")))
+    pa_, pb_ = (F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("p2", "place"), ("place", "p2")))
+    return rows.filter("edge = 0").select("a", "pa", "b", "pb").union(met.select(a, pa_, b, pb_))
 
 
 def _chains(length: int) -> Callable:
@@ -247,9 +287,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     suffixes = docs.mapInArrow(scan, "h long, doc long")
     shared = suffixes.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
     bits = documents.sparkSession.sparkContext.broadcast(sieve.build(shared, "h"))
-    passages = docs.mapInArrow(scan_again, "h long, doc long, place int")
-    ordered = passages.repartition("h").sortWithinPartitions("h", "doc", "place")
-    matches = ordered.mapInArrow(_neighbours, "a long, pa long, b long, pb long")
+    matches = _matches(cut(docs.mapInArrow(scan_again, "h long, doc long, place int")))
     along = matches.select("a", "b", (F.col("pa") - F.col("pb")).alias("d"), "pa").repartition("a", "b").sortWithinPartitions("a", "b", "d", "pa")
     chains = along.mapInArrow(_chains(length), "a long, b long, pa long, pb long, n long")
     pairs = cut(chains.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb", "n")).alias("chains")))
@@ -285,15 +323,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """documents with the repeated stretches cut out of the text, and n_chars, if
     it is there, counted anew; no row goes, even where nothing is left of its text."""
-    spans = repeats(documents, length, window).filter("repeat").groupBy("doc_id").agg(F.collect_list(F.struct("word_start", "word_end")).alias("_spans"))
+    spans = repeats(documents, length, window).filter("repeat").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("word_start", "word_end")).alias("_spans"))
     own = documents.columns
-    boxed = documents.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select(
-        F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("_row"), "text", "_spans"
-    )
-    out = boxed.mapInArrow(_without, f"_row {boxed.schema['_row'].dataType.simpleString()}, text string").select("_row.*", "text")
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType))
-    return out.select(*own)
+    boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("_row"), "text", F.col("doc_id").cast("long").alias("_id"))
+    boxed = boxed.join(spans, "_id", "left").select("_row", "text", "_spans")
+    out = boxed.mapInArrow(_without, f"_row {boxed.schema['_row'].dataType.simpleString()}, text string")
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    return out.select(*[
+        F.col("text") if c == "text" else chars.cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row").getField(c).alias(c) for c in own
+    ])
 
 
 def op5(documents: DataFrame) -> DataFrame:
