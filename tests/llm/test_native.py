@@ -1,5 +1,7 @@
 """Operators that SQL can express, against DuckDB on awkward rows."""
 
+import random
+
 import pytest
 from fixtures import as_pandas, awkward, duck, frame, plain, same_as_sql
 
@@ -17,7 +19,9 @@ def test_quality_rules(spark):
 
 
 def test_quality_filter_keeps_columns_of_any_name(spark):
-    df = frame(spark, awkward()).selectExpr("*", "'x' AS kept", "1 AS n_words", "2 AS _row", "3 AS _words")
+    df = frame(spark, awkward()).selectExpr("*", "'x' AS kept", "1 AS n_words", "2 AS _row", "3 AS _words", "4 AS _lines", "5 AS _keys")
+    judged = quality_rules.judge(df)
+    assert {"_row", "_words", "_lines", "_keys"} <= set(judged.columns) and judged.filter("kept AND _keys = 5").count() > 0
     kept = quality_rules.keep_good(df)
     assert kept.columns == df.columns
     want = quality_rules.op8(df.select("doc_id", "text")).filter("kept").count()
@@ -36,11 +40,54 @@ def test_url_filters(spark):
 
 
 def test_mixing(spark):
-    rows = [r for r in awkward() if r[0] is not None]
+    rows = awkward()
     got = mixing.op4(frame(spark, rows))
     same_as_sql(got, duck(documents=as_pandas(rows)), mixing.SQL)
 
 
+def test_mixing_carries_the_texts(spark):
+    rows = awkward()
+    df = frame(spark, rows).selectExpr("*", "1 AS block", "'x' AS _k0", "2 AS rank")
+    got = mixing.mix(df, carry=("text", "lang")).collect()
+    plain_rows = mixing.mix(df).collect()
+    assert sorted((str(r.doc_id), r.epoch, r.rank) for r in got) == sorted((str(r.doc_id), r.epoch, r.rank) for r in plain_rows)
+    texts = {(r[0], r[1], r[2]) for r in rows}
+    assert len(got) > 10 and all((r.doc_id, r.text, r.lang) in texts for r in got)
+
+
+def test_mixing_of_very_many_sources(spark):
+    stats = spark.range(5000).selectExpr("CAST(id AS STRING) AS source", "1 + id * id % 7919 AS tokens")
+    tokens = [1 + i * i % 7919 for i in range(5000)]
+    total = sum(tokens)
+    p = [t / total for t in tokens]
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        z = sum(x**a for x in p)
+        if max(x**a / z / x for x in p) > 2.0:
+            low = a
+        else:
+            high = a
+    z = sum(x**high for x in p)
+    got = {r.source: r.weight for r in mixing.exponent(stats, max_repeats=2.0).collect()}
+    assert len(got) == 5000 and all(got[str(i)] == pytest.approx(x**high / z, abs=2e-9) for i, x in enumerate(p))
+
+
+def test_filters_of_many_lengths_and_hosts(spark):
+    rng = random.Random(5)
+    name = lambda: ".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4)))
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(6)))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((name(), path()) for _ in range(200))}.values())
+    urls = [(i, f"http://{name()}{path()}") for i in range(400)]
+    got = url_filters.match(spark.createDataFrame(urls, "page_id long, url string"), url_filters.rule_table(spark, rules), otherwise="none")
+    hits = 0
+    for r in got.collect():
+        fits = [(len(h), len(p), h + p, v) for v, h, p in rules if ("." + r.host).endswith("." + h) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "none"))
+        hits += bool(fits)
+    assert hits > 100
+
+
 def test_mixing_meets_its_target(spark):
     rows = [(i, "w " * 50, "en", s, 0) for s, n in (("a", 600), ("b", 150), ("c", 50)) for i in range(n)]
     df = frame(spark, rows)

@@ -9,13 +9,16 @@ partial epoch that ends where the budget ends.
 
 An epoch is a permutation of fixed-size blocks and of the documents in each
 block, both ordered by MD5 of (seed, epoch, block or document), so any executor
-can compute any part again. Only sums of blocks are ordered across a source;
-documents are ordered within their block, so a source with a third of all rows
-is no different from many small ones.
+can compute any part again. Blocks are ranked inside ranges of their keys, and
+only the ranges' sums are added up along a source; documents are ordered within
+their block, so a source with a third of all rows is no different from many
+small ones.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,42 +27,50 @@ from ..session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 60
+HALVINGS = 5  # in one job
 MAX_REPEATS = 1.25
 BLOCK_TOKENS = 200_000
 SEED = 17
+RANGE_DIGITS = 3  # of a block's hexadecimal key: 4096 ranges of a source's epoch
 
 
 def exponent(stats: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget_share: float = 1.0) -> DataFrame:
     """stats (source, tokens) with the bisected exponent and each weight.
 
-    The table of sources, one row each, is gathered in one row of Spark's, in
-    source order so that sums don't depend on partitions.
+    STEPS halvings, HALVINGS of them in a job: it sums p**a, and for the entropy
+    p**a * ln p, at all exponents that the next halvings can come to. So however
+    many sources there are, none of them meet in one row.
     """
     if (max_repeats is None) == (entropy is None):
         raise ValueError("one target: max_repeats or entropy")
-    row = stats.filter("tokens > 0").agg(F.sort_array(F.collect_list(F.struct("source", F.col("tokens").cast("double").alias("t")))).alias("s"))
-    row = row.withColumn("total", F.expr("aggregate(s, 0D, (a, x) -> a + x.t)"))
-    row = row.withColumn("p", F.expr("transform(s, x -> x.t / total)"))
-    weights = "transform(p, x -> pow(x, {a}) / aggregate(p, 0D, (z, y) -> z + pow(y, {a})))"
-    mid = "((r.lo + r.hi) / 2)"
-    w = weights.format(a=mid)
-    if max_repeats is not None:  # most repeats fall as the exponent grows
-        low = f"array_max(zip_with({w}, p, (w, q) -> w * {float(budget_share)!r}D / q)) > {float(max_repeats)!r}D"
-        take = "hi"
-    else:  # entropy falls as the exponent grows
-        low = f"aggregate({w}, 0D, (h, w) -> h - w * ln(w)) >= {float(entropy)!r}D"
-        take = "lo"
-    step = f"CASE WHEN {low} THEN struct({mid} AS lo, r.hi AS hi) ELSE struct(r.lo AS lo, {mid} AS hi) END"
-    row = row.withColumn("a", F.expr(f"aggregate(sequence(1, {STEPS}), struct(0D AS lo, 1D AS hi), (r, i) -> {step}).{take}"))
-    row = row.withColumn("w", F.expr(weights.format(a="a")))
-    return row.select("a", F.explode(F.arrays_zip("s", "w")).alias("x")).select(
-        F.col("x.s.source").alias("source"), F.col("x.s.t").cast("long").alias("tokens"),
-        F.round("a", 6).alias("exponent"), F.round("x.w", 9).alias("weight"),
-    )
+    rows = stats.filter("tokens > 0").select("source", "tokens", F.col("tokens").cast("double").alias("t"))
+    total, least = rows.agg(F.sum("t"), F.min("t")).first()
+    if not total:
+        return stats.limit(0).select("source", "tokens", F.lit(0.0).alias("exponent"), F.lit(0.0).alias("weight"))
+    p = F.col("t") / F.lit(total)
+    low, high = 0.0, 1.0
+    for _ in range(STEPS // HALVINGS):
+        ways = 1 << HALVINGS
+        grid = [low + (high - low) * k / ways for k in range(1, ways)]
+        power = [F.pow(p, F.lit(a)) for a in grid]
+        found = rows.agg(*[F.sum(x) for x in power], *([F.sum(x * F.ln(p)) for x in power] if entropy is not None else [])).first()
+        begin, end = 0, ways
+        while end - begin > 1:
+            mid = (begin + end) // 2
+            a, z = grid[mid - 1], found[mid - 1]
+            if max_repeats is not None:  # the smallest source repeats most, and the less the greater the exponent
+                up = (least / total) ** (a - 1) / z * budget_share > max_repeats
+            else:  # entropy falls as the exponent grows
+                up = math.log(z) - a * found[ways - 1 + mid - 1] / z >= entropy
+            begin, end = (mid, end) if up else (begin, mid)
+        low, high = (grid[begin - 1] if begin else low), (grid[end - 1] if end < ways else high)
+    a = high if max_repeats is not None else low
+    z = rows.agg(F.sum(F.pow(p, F.lit(a)))).first()[0]
+    return rows.select("source", "tokens", F.round(F.lit(a), 6).alias("exponent"), F.round(F.pow(p, F.lit(a)) / F.lit(z), 9).alias("weight"))
 
 
 def _hash(*parts):
-    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(p).cast("string"), F.lit("")) if isinstance(p, str) else F.lit(str(p)) for p in parts]))
+    return F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) for p in parts]))
 
 
 def mix(
@@ -69,20 +80,27 @@ def mix(
     budget: int | None = None,
     block_tokens: int = BLOCK_TOKENS,
     seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each time a document is read: doc_id, source, epoch, block,
     block_rank (of the block in its source's epoch), rank (in the block),
-    n_tokens, weight. ``budget`` defaults to the tokens that there are.
+    n_tokens, weight, and the document's columns named in ``carry``. ``budget``
+    defaults to the tokens that there are.
 
     A null source is a source of its own, written as the empty string. A text
-    without words, or null, has no tokens to budget: it isn't drawn. Repeated
-    rows are drawn as often as they stand there. A document that the budget ends
-    inside isn't read, nor is any after it.
+    without words, or null, has no tokens to budget: it isn't drawn. A very long
+    text counts whole, and makes its block that much larger. Repeated rows are
+    drawn as often as they stand there; null ids are left out of the hash,
+    and of rows with one id in one block the shorter comes first. A document that
+    the budget ends inside isn't read, nor is any after it. Columns of docs that
+    aren't named don't matter, whatever their names.
     """
+    same = [F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(k)) for k in range(2)]
+    keys = [F.hex(same[0]).alias("_k0"), F.hex(same[1]).alias("_k1")] if carry else []
     tokens = cut(
         docs.select(
             "doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"),
-            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
+            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *keys,
         ).filter("n_tokens > 0")
     )
     stats = tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
@@ -104,23 +122,32 @@ def mix(
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole"))))
         .withColumn("_key", _hash(seed, "epoch", "source", "block"))
     )
-    order = Window.partitionBy("source", "epoch").orderBy("_key", "block")
-    blocks = blocks.withColumns({
-        "block_rank": F.row_number().over(order).cast("long"),
-        "_before": F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)),
-    }).withColumn("_before", F.coalesce("_before", F.lit(0).cast("long")))
+    # ranks and sums inside ranges of the keys, and the ranges' own sums along the source
+    blocks = cut(blocks.withColumn("_range", F.substring("_key", 1, RANGE_DIGITS)))
+    along = Window.partitionBy("source", "epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("source", "epoch", "_range").agg(F.count("*").alias("_n"), F.sum("_tokens").alias("_t"))
+    ranges = ranges.select("source", "epoch", "_range", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_n"), F.coalesce(F.sum("_t").over(along), F.lit(0)).alias("_t"))
+    order = Window.partitionBy("source", "epoch", "_range").orderBy("_key", "block")
+    inner = F.coalesce(F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumns({"_rank": F.row_number().over(order), "_inner": inner}).join(ranges, ["source", "epoch", "_range"])
+    blocks = blocks.withColumns({"block_rank": (F.col("_n") + F.col("_rank")).cast("long"), "_before": (F.col("_t") + F.col("_inner")).cast("long")})
     blocks = blocks.filter((F.col("epoch") < F.col("_whole")) | (F.col("_before") < F.col("_rest")))
-    rows = placed.select("doc_id", "source", "block", "n_tokens").join(
+    names = ["_k0", "_k1"] if carry else []
+    rows = placed.select("doc_id", "source", "block", "n_tokens", *names).join(
         blocks.select("source", "block", "epoch", "block_rank", "_before", "_whole", "_rest", "weight"), ["source", "block"]
     )
-    inside = Window.partitionBy("source", "epoch", "block").orderBy("_key", "doc_id", "n_tokens")
+    inside = Window.partitionBy("source", "epoch", "block").orderBy("_key", "doc_id", "n_tokens", *names)
     rows = rows.withColumn("_key", _hash(seed, "epoch", "doc_id")).withColumns({
         "rank": F.row_number().over(inside).cast("long"),
         "_upto": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"),
     })
-    return rows.filter("epoch < _whole OR _upto <= _rest").select(
-        "doc_id", "source", "epoch", "block", "block_rank", "rank", "n_tokens", "weight"
-    )
+    out = ["doc_id", "source", "epoch", "block", "block_rank", "rank", "n_tokens", "weight"]
+    rows = rows.filter("epoch < _whole OR _upto <= _rest").select(*out, *names)
+    if not carry:
+        return rows
+    # the two hashes of all columns tell rows apart; equal rows carry the same values
+    whole = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")).dropDuplicates(["_k0", "_k1"])
+    return rows.join(whole, ["_k0", "_k1"]).select(*out, *[F.col("_row").getField(c).alias(c) for c in carry])
 
 
 def op4(documents: DataFrame) -> DataFrame:

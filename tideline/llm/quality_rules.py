@@ -71,33 +71,34 @@ def repeat_words(words: Column, n: Column) -> Column:
 def metrics(docs: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
     """docs with the measured columns, beside all its own.
 
-    A null text counts as the empty one, with zero for every metric. Input
-    columns that carry a metric's name are replaced.
+    A null text counts as the empty one, with zero for every metric; a very long
+    one is measured whole. Rows are measured one by one, so null and repeated ids
+    and repeated rows don't matter. Columns of docs that carry a metric's name are
+    replaced, all others kept, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
     own = [c for c in docs.columns if c not in METRICS]
-    keep = [F.col(f"`{c}`") for c in own]
     step = docs.select(
-        *keep,
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),  # so that no name of docs meets one of these
         _words(text).alias("_words"),
         lines.alias("_lines"),
         (F.length(text) - F.regexp_count(text, F.lit(SEPARATOR))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
-    kept = [*own, "_words", "word_chars", "n_symbols"]
     step = step.select(
-        *[F.col(f"`{c}`") for c in kept],
+        "_row", "_words", "word_chars", "n_symbols",
         F.size("_words").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(list(stop_words)))).cast("long").alias("n_stop_words"),
-    )
+    )
     keys, n_repeat = repeat_words(F.col("_words"), F.col("n_words"))
     # always true, and not deterministic: a caller's filter stays above this step instead of working out the keys for each word
     once = F.monotonically_increasing_id() >= 0
     step = step.withColumn("_keys", F.when(once & (F.col("n_words") >= 3), keys).otherwise(F.array().cast("array<bigint>")))
-    return step.withColumn("n_repeat_words", n_repeat).drop("_words", "_keys")
+    measured = step.withColumn("n_repeat_words", n_repeat)
+    return measured.select(*[F.col("_row").getField(c).alias(c) for c in own], *METRICS)
 
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
@@ -109,8 +110,9 @@ def holds(table=THRESHOLDS) -> Column:
 
 
 def judge(docs: DataFrame, text_col: str = "text", table=THRESHOLDS) -> DataFrame:
-    """docs with the metrics, base_failed (length or repetition) and kept."""
-    out = metrics(docs, text_col)
+    """docs with the metrics, base_failed (length or repetition) and kept; columns
+    of these names are replaced. Awkward rows are as in metrics()."""
+    out = metrics(docs.drop("base_failed", "kept"), text_col)
     return out.withColumns({"base_failed": ~holds(BASE), "kept": holds(table)})
 
 
