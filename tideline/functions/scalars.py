@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,16 +82,47 @@ def match(subject: Column, arms: list[tuple[list, Column]], default: Column) ->
     return default if out is None else out.otherwise(default)
 
 
+def match_option(subject: Column, some: Callable[[Column], Column], none: Column) -> Column:
+    """An arm for an option's value, bound to its argument, and one for none."""
+    return F.when(subject.getField("is_some"), some(subject.getField("v"))).otherwise(none)
+
+
+def match_result(subject: Column, ok: Callable[[Column], Column], err: Callable[[Column], Column]) -> Column:
+    """An arm for a result's value and one for its error, each bound to its argument."""
+    return F.when(subject.getField("is_ok"), ok(subject.getField("ok"))).otherwise(err(subject.getField("err")))
+
+
+def convert(source: Column, have: dict[str, str], want: dict[str, str]) -> Column:
+    """source as a struct of another type with the same fields and types, in that one's order."""
+    if have != want:
+        odd = sorted(k for k in have.keys() | want.keys() if have.get(k) != want.get(k))
+        raise ValueError(f"{', '.join(odd)} differ")
+    return F.struct(*[source.getField(f).alias(f) for f in want])
+
+
+def insert_fields(own: dict[str, str], *others: dict[str, str]) -> dict[str, str]:
+    """A struct's fields with those of others inserted; no name may come twice."""
+    out = dict(own)
+    for other in others:
+        if twice := out.keys() & other.keys():
+            raise ValueError(f"{', '.join(sorted(twice))} comes twice")
+        out |= other
+    return out
+
+
 def substruct(source: Column, fields: list[str]) -> Column:
     """source's given fields, in that order."""
     return F.struct(*[source.getField(f).alias(f) for f in fields])
 
 
 def compose(given: dict[str, Column], *sources: tuple[Column, list[str]]) -> Column:
-    """Given fields, and the other fields of the sources; none may come twice."""
+    """Given fields, and the other fields of the sources; none may come twice, and
+    every source must add something."""
     seen, out = set(given), [c.alias(n) for n, c in given.items()]
     for source, fields in sources:
         more = [f for f in fields if f not in given]
+        if not more:
+            raise ValueError("a source adds no field")
         if twice := seen & set(more):
             raise ValueError(f"{', '.join(sorted(twice))} comes from two sources")
         seen |= set(more)
@@ -102,8 +135,14 @@ def bytes_from_hex(x: Column) -> Column:
 
 
 def tagged_id(tag: str, *parts: Column) -> Column:
-    """An id as the hex SHA-256 of a tag and its parts."""
-    return F.sha2(F.concat_ws("|", F.lit(tag), *[p.cast("string") for p in parts]), 256)
+    """An id as the hex SHA-256 of a tag and its parts, each with its length before
+    it and null apart from all texts, so that no two lists of parts look alike."""
+
+    def framed(p: Column) -> Column:
+        text = p.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.sha2(F.concat(*[framed(p) for p in (F.lit(tag), *parts)]), 256)
 
 
 def merge_id(left: Column, right: Column) -> Column:

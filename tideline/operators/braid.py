@@ -3,7 +3,7 @@
 Backwards from the heads the command with the smallest (priority, id) comes
 first, so forwards, among concurrent commands, the smallest comes last and its
 writes win. On chains that share a root this order is a running maximum; on
-general graphs it is a merge with a heap, graph by graph.
+general graphs it is a merge with a heap, piece by piece.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .graph import places
+from .facts import latest
+from .graph import Segments, contract, heads, places, reach, segment_cuts, waists
+from .schema import Fact
 
 
 def chain_keys(commands: DataFrame, chain: list[str], order: list[str], key: Column, bucket: Column) -> DataFrame:
@@ -50,6 +55,14 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position") -> D
     return numbered.join(sizes, "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_id", "_part", "_at", "_before")
 
 
+def sequences(rows: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """Rows with their place (from 1) in their group's order: places in the order of
+    all groups, less what comes before the group. A group may have any number of rows."""
+    placed = positions(rows, [*[F.col(g) for g in group], *order], name)
+    before = placed.groupBy(*group).agg((F.min(name) - 1).alias("_before"))
+    return placed.join(before, group).withColumn(name, F.col(name) - F.col("_before")).drop("_before")
+
+
 class ParallelFinalize(ValueError):
     """Two finalizing commands are concurrent."""
 
@@ -69,10 +82,12 @@ def order(ids: list, parents: dict, rank: dict, floor: set) -> list:
     heap = [(rank[i], i) for i in inside if not waiting[i]]
     heapq.heapify(heap)
     out = []
+    open_finalizing = sum(r[0] == FINALIZE for r, _ in heap)
     while heap:
-        if sum(r[0] == FINALIZE for r, _ in heap) > 1:
+        if open_finalizing > 1:
             raise ParallelFinalize(str(sorted(i for r, i in heap if r[0] == FINALIZE)))
         r, i = heapq.heappop(heap)
+        open_finalizing -= r[0] == FINALIZE
         if r[0]:
             out.append(i)
         for p in parents.get(i, ()):
@@ -80,26 +95,62 @@ def order(ids: list, parents: dict, rank: dict, floor: set) -> list:
                 waiting[p] -= 1
                 if not waiting[p]:
                     heapq.heappush(heap, (rank[p], p))
+                    open_finalizing += rank[p][0] == FINALIZE
     return out[::-1]
 
 
-def braid(commands: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, id, position) of general graphs. commands: graph_id, id (long),
-    priority_rank, priority_n. A graph's commands meet in one task: give it what
-    lies below the heads' common ancestor, which is all that can change places."""
-    rows = commands.select("graph_id", "id", "priority_rank", "priority_n").join(
-        edges.groupBy("graph_id", "id").agg(F.sort_array(F.collect_list("parent_id")).alias("parents")), ["graph_id", "id"], "left"
-    )
+def braid(commands: DataFrame, edges: DataFrame, targets: DataFrame | None = None, by: tuple[str, ...] = (), segments: Segments | None = None) -> DataFrame:
+    """(*by, graph_id, id, position) of general graphs, merges left out. commands:
+    graph_id, id, priority_rank, priority_n.
+
+    ``targets`` (*by, graph_id, id) restrict it to them and what lies above them;
+    each combination of ``by`` is an order of its own. Without them whole graphs
+    are ordered.
+
+    Commands that every way up passes divide a graph into pieces, one after the
+    other. A piece's commands, all of which are concurrent with some other, meet in
+    one task; runs without concurrent commands need none.
+    """
+    key = [*by, "graph_id"]
+    segments = segments or contract(commands, edges)
+    cuts = segment_cuts(segments)
+    targets = heads(commands, edges).select("graph_id", "id") if targets is None else targets.select(*key, "id").distinct()
+    covered = reach(segments, targets, by)
+    rows = cut(waists(segments, cuts, covered, targets, by))
+    # a piece is known by the depth of the last command before it that all pass
+    before = Window.partitionBy(*key).orderBy("top", "seg").rowsBetween(Window.unboundedPreceding, -1)
+    floor = F.coalesce(F.max(F.when(F.col("alone"), F.col("end"))).over(before), F.lit(-1).cast("long"))
+    rows = rows.withColumn("floor", floor).select(*key, "seg", "top", "end", "alone", "floor")
+    placed = segments.places.join(rows, ["graph_id", "seg"]).filter("top + off <= end")
+    placed = placed.join(commands.select("graph_id", "id", "priority_rank", "priority_n"), ["graph_id", "id"])
+    placed = cut(placed.select(*key, "id", "priority_rank", "priority_n", "alone", F.when(F.col("alone"), F.col("top") + F.col("off")).otherwise(F.col("floor")).alias("anchor")))
+    lone = placed.filter("alone").select(*key, "id", "priority_rank", "anchor", F.lit(0).cast("long").alias("n"))
+    shared = placed.filter("NOT alone")
+    parents = edges.groupBy("graph_id", "id").agg(F.sort_array(F.collect_set("parent_id")).alias("parents"))
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in key)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].tolist()
-        parents = {i: [int(p) for p in ps] for i, ps in zip(ids, pdf["parents"], strict=True) if ps is not None}
+        above = {i: list(ps) for i, ps in zip(ids, pdf["parents"], strict=True) if ps is not None}
         rank = {i: (int(r), int(n), i) for i, r, n in zip(ids, pdf["priority_rank"], pdf["priority_n"], strict=True)}
-        got = order(ids, parents, rank, set())
-        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "id": got, "position": range(1, len(got) + 1)})
+        got = order(ids, above, rank, set())
+        out = {c: pdf[c].iloc[0] for c in key}
+        return pd.DataFrame(out | {"id": got, "priority_rank": 1, "anchor": pdf["anchor"].iloc[0], "n": range(1, len(got) + 1)})
+
+    pieces = shared.join(parents, ["graph_id", "id"], "left").groupBy(*key, "anchor").applyInPandas(one, f"{kinds}, id {commands.schema['id'].dataType.simpleString()}, priority_rank int, anchor long, n long")
+    every = lone.filter("priority_rank > 0").unionByName(pieces).drop("priority_rank")
+    return sequences(every, key, [F.col("anchor"), F.col("n")]).select(*key, "id", "position")
+
 
-    kind = commands.schema["graph_id"].dataType.simpleString()
-    return rows.groupBy("graph_id").applyInPandas(one, f"graph_id {kind}, id long, position long")
+def facts_at(changes: DataFrame, fact: Fact, commands: DataFrame, edges: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), segments: Segments | None = None) -> DataFrame:
+    """Facts as they are at each target command: the changes (graph_id, id, seq,
+    the fact's columns, deleted) of it and of all above it, in their order. targets:
+    (*by, graph_id, id); with several for one graph ``by`` tells them apart."""
+    key = [*by, "graph_id"]
+    placed = braid(commands, edges, targets, by, segments)
+    kinds = {c: placed.schema[c].dataType.simpleString() for c in key}
+    scoped = Fact(fact.name, kinds | fact.key, fact.value, check=False)
+    return latest(changes.join(placed, ["graph_id", "id"]), scoped, ["position", "seq"])
 
 
 def fold(rows: DataFrame, key: list[str], order_by: list[str], step, state, schema: str) -> DataFrame:
@@ -107,20 +158,23 @@ def fold(rows: DataFrame, key: list[str], order_by: list[str], step, state, sche
 
     step(state, row) returns (state, result); a key's rows come in order and only
     the current key's state is held, so a key may have any number of rows. Keys
-    are independent: choose them so that no rule reads another key's facts.
+    are independent: choose them so that no rule reads another key's facts. A null
+    key is a key. A rejected row must leave the state as it was: step returns the
+    old state then, and makes a new one instead of changing it in place.
     """
     sorted_rows = rows.repartition(*key).sortWithinPartitions(*key, *order_by)
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in batch.to_pylist():
                 this = tuple(row[k] for k in key)
                 if this != held:
                     now, held = state(), this
                 now, result = step(now, row)
                 out.append(result)
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, schema=out_schema)
 
-    return sorted_rows.mapInPandas(run, schema)
+    return sorted_rows.mapInArrow(run, schema)

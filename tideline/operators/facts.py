@@ -6,8 +6,11 @@ state of a key is its change with the greatest position; a deletion hides it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .schema import Fact, SchemaError
 
@@ -39,6 +42,37 @@ def as_of(changes: DataFrame, fact: Fact, position: list[str], limit: Column) ->
     return latest(changes.filter(F.struct(*position) <= limit), fact, position)
 
 
+def as_of_join(outer: DataFrame, changes: DataFrame, on: list[str], at: str, position: str, value: list[str], bucket: Callable[[Column], Column]) -> DataFrame:
+    """Each outer row with the ``value`` columns (null if there is none) of the last
+    change of its key whose ``position`` isn't beyond the row's ``at``.
+
+    ``bucket`` maps positions to numbers that don't fall as positions grow (say, the
+    day). A key's rows are looked through bucket by bucket; only the buckets' last
+    changes are carried along a key, so a key may have any number of changes.
+    """
+    body = F.struct(*[F.col(v) for v in value])
+    left = outer.withColumns({"_row": F.struct(*outer.columns), "_at": F.col(at), "_side": F.lit(1), "_change": F.lit(None).cast(changes.select(body.alias("x")).schema["x"].dataType)})
+    right = changes.withColumns({"_row": F.lit(None).cast(left.schema["_row"].dataType), "_at": F.col(position), "_side": F.lit(0), "_change": body})
+    names = [*on, "_row", "_at", "_side", "_change"]
+    rows = left.select(*names).union(right.select(*names)).withColumn("_bucket", bucket(F.col("_at")))
+    seen = Window.partitionBy(*on, "_bucket").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(*on, "_bucket").agg(F.max_by(F.when(F.col("_side") == 0, F.col("_change")), F.when(F.col("_side") == 0, F.col("_at"))).alias("_c"))
+    before = last.select(*[F.col(k).alias(f"_on_{k}") for k in on], F.col("_bucket").alias("_b"), F.last("_c", ignorenulls=True).over(along).alias("_before"))
+    met = rows.withColumn("_change", F.last("_change", ignorenulls=True).over(seen)).filter("_side = 1")
+    test = F.col("_bucket") == F.col("_b")
+    for k in on:
+        test = test & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return met.join(before, test, "left").withColumn("_found", F.coalesce("_change", "_before")).select("_row.*", *[F.col("_found").getField(v).alias(v) for v in value])
+
+
+def live(changes: DataFrame, fact: Fact, position: list[str]) -> DataFrame:
+    """For each key its number of changes and of tombstones among them, and whether
+    a read skips it for its last one: (key, changes, tombstones, skipped)."""
+    last = F.max_by("deleted", F.struct(*position))
+    return changes.groupBy(*fact.key).agg(F.count("*").alias("changes"), F.count_if("deleted").alias("tombstones"), last.alias("skipped"))
+
+
 def lookup(facts: DataFrame, fact: Fact, key: dict) -> DataFrame:
     """The row of a whole key, if there is one."""
     fact.check_key(key, whole=True)

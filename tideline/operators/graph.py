@@ -1,14 +1,33 @@
-"""Command graphs: vertices (graph_id, id, ...) and edges (graph_id, id, parent_id)."""
+"""Command graphs: vertices (graph_id, id, ...) and edges (graph_id, id, parent_id).
+
+Most commands have one parent, whose only child they are. Such runs are contracted
+into segments first, by pointer doubling: a run of n commands takes log n rounds.
+What goes level by level (depth, ancestors) then goes over segments, whose number
+grows with the forks and merges, not with the commands.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import merge_id
 from ..session import cut
 
-DEEPEST = 10_000_000
+
+@dataclass(frozen=True)
+class Segments:
+    """places (graph_id, id, seg, off): a command's segment and its steps below the
+    segment's topmost command; sizes (graph_id, seg, size); links
+    (graph_id, seg, parent) between segments, parent's last command being a parent
+    of seg's first."""
+
+    places: DataFrame
+    sizes: DataFrame
+    links: DataFrame
 
 
 def heads(commands: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,61 +57,221 @@ def places(rows: DataFrame, chain: list[str], order: list[str], bucket, name: st
     return rows.join(sizes, [*chain, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_bucket", "_rank", "_before")
 
 
-def max_cut(commands: DataFrame, edges: DataFrame) -> DataFrame:
-    """Depth of each command: 0 without parents, else one more than its deepest
-    parent's. One round for each level of the graph; for plain chains use places()."""
-    links = cut(edges.select("graph_id", "id", "parent_id"))
-    level = cut(commands.join(links.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_anti").select("graph_id", "id"))
-    depth, done = 0, level.withColumn("max_cut", F.lit(0).cast("long"))
-    while depth < DEEPEST:
-        depth += 1
-        level = cut(level.withColumnRenamed("id", "parent_id").join(links, ["graph_id", "parent_id"]).select("graph_id", "id").distinct())
-        if level.isEmpty():
+def contract(commands: DataFrame, edges: DataFrame) -> Segments:
+    """The graphs' segments. Edges to commands that aren't there are left out."""
+    ids = cut(commands.select("graph_id", "id").distinct())
+    links = edges.select("graph_id", "id", "parent_id").distinct()
+    links = links.join(ids, ["graph_id", "id"], "left_semi").join(ids.withColumnRenamed("id", "parent_id"), ["graph_id", "parent_id"], "left_semi")
+    links = cut(links.select("graph_id", "id", "parent_id"))
+    single = links.groupBy("graph_id", "id").agg(F.count("*").alias("n"), F.first("parent_id").alias("parent_id")).filter("n = 1").drop("n")
+    only = links.groupBy("graph_id", "parent_id").agg(F.count("*").alias("n")).filter("n = 1").select("graph_id", "parent_id")
+    inner = single.join(only, ["graph_id", "parent_id"])
+    state = ids.join(inner, ["graph_id", "id"], "left").select(
+        "graph_id", "id", F.coalesce("parent_id", "id").alias("seg"), F.col("parent_id").isNotNull().cast("long").alias("off"), F.col("parent_id").isNull().alias("done")
+    )
+    state, most = cut(state), ids.count()
+    reach = 1
+    while not state.filter("NOT done").isEmpty():
+        if reach > 2 * most:
+            raise ValueError("the graph has a cycle")
+        reach *= 2
+        at = state.select("graph_id", F.col("id").alias("seg"), F.col("seg").alias("_seg"), F.col("off").alias("_off"), F.col("done").alias("_done"))
+        moved = state.filter("NOT done").join(at, ["graph_id", "seg"])
+        moved = moved.select("graph_id", "id", F.col("_seg").alias("seg"), (F.col("off") + F.col("_off")).alias("off"), F.col("_done").alias("done"))
+        state = cut(state.filter("done").union(moved))
+    return segments_of(state.drop("done"), links)
+
+
+def segments_of(places: DataFrame, edges: DataFrame) -> Segments:
+    """Segments that are known beforehand, such as each author's chain: places are
+    (graph_id, id, seg, off), seg any name that is unique in its graph. Only a
+    segment's first command (off 0) may have other parents than the one before it,
+    and only its last one other children."""
+    places = cut(places.select("graph_id", "id", "seg", "off"))
+    sizes = cut(places.groupBy("graph_id", "seg").agg((F.max("off") + 1).alias("size")))
+    tops = places.filter("off = 0").select("graph_id", "id", "seg")
+    above = places.select("graph_id", F.col("id").alias("parent_id"), F.col("seg").alias("parent"))
+    between = edges.select("graph_id", "id", "parent_id").join(tops, ["graph_id", "id"]).join(above, ["graph_id", "parent_id"])
+    return Segments(places, sizes, cut(between.select("graph_id", "seg", "parent").distinct()))
+
+
+def segment_cuts(segments: Segments) -> DataFrame:
+    """(graph_id, seg, size, cut): the depth of each segment's first command. One
+    round for each level of the segments."""
+    sizes, links = segments.sizes, segments.links
+    front = cut(sizes.join(links, ["graph_id", "seg"], "left_anti").select("graph_id", "seg", F.lit(0).cast("long").alias("cut")))
+    done, rounds, most = front, 0, sizes.count()
+    while True:
+        rounds += 1
+        above = front.join(sizes, ["graph_id", "seg"]).select("graph_id", F.col("seg").alias("parent"), (F.col("cut") + F.col("size")).alias("cut"))
+        front = cut(above.join(links, ["graph_id", "parent"]).groupBy("graph_id", "seg").agg(F.max("cut").alias("cut")))
+        if front.isEmpty():
             break
-        done = done.union(level.withColumn("max_cut", F.lit(depth).cast("long")))
-    return done.groupBy("graph_id", "id").agg(F.max("max_cut").alias("max_cut"))
+        if rounds > most:
+            raise ValueError("the graph has a cycle")
+        done = done.union(front)
+    found = cut(sizes.join(done.groupBy("graph_id", "seg").agg(F.max("cut").alias("cut")), ["graph_id", "seg"], "left"))
+    if not found.filter("cut IS NULL").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return found
+
 
+def max_cut(commands: DataFrame, edges: DataFrame, segments: Segments | None = None) -> DataFrame:
+    """(graph_id, id, max_cut): 0 without parents, else one more than the deepest parent's."""
+    segments = segments or contract(commands, edges)
+    cuts = segment_cuts(segments).select("graph_id", "seg", "cut")
+    return segments.places.join(cuts, ["graph_id", "seg"]).select("graph_id", "id", (F.col("cut") + F.col("off")).alias("max_cut"))
 
-def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(graph_id, seed, id) of each seed and everything above it. A round looks
-    only at what the last one found; earlier finds are dropped."""
-    links = cut(edges.select("graph_id", "id", "parent_id"))
-    front = cut(seeds.select("graph_id", F.col("id").alias("seed"), "id").distinct())
-    found = front
+
+def reach(segments: Segments, seeds: DataFrame, by: tuple[str, ...] = (), down: bool = False, strict: bool = False) -> DataFrame:
+    """How far into each segment the seeds and all above them go: (*by, graph_id,
+    seg, upto); with ``down`` all below them, from ``upto`` on. seeds have graph_id,
+    id and the columns ``by``, each combination of which is a search of its own; a
+    seed that isn't there is ignored. ``strict`` leaves the seeds themselves out
+    unless another seed reaches them."""
+    key = [*by, "graph_id"]
+    here, next_ = ("parent", "seg") if down else ("seg", "parent")
+    sizes, links = segments.sizes, segments.links
+    own = seeds.select(*key, "id").distinct().join(segments.places, ["graph_id", "id"])
+    step = (1 if down else -1) if strict else 0
+    part = cut(own.groupBy(*key, "seg").agg(((F.min if down else F.max)("off") + step).alias("upto")))
+    front = part.select(*key, "seg")
+    whole = None
     while True:
-        up = front.join(links, ["graph_id", "id"]).select("graph_id", "seed", F.col("parent_id").alias("id")).distinct()
-        front = cut(up.join(found, ["graph_id", "seed", "id"], "left_anti"))
+        found = front.withColumnRenamed("seg", here).join(links, ["graph_id", here]).select(*key, F.col(next_).alias("seg")).distinct()
+        front = cut(found if whole is None else found.join(whole, [*key, "seg"], "left_anti"))
         if front.isEmpty():
-            return found
-        found = cut(found.union(front))
+            break
+        whole = front if whole is None else cut(whole.union(front))
+    if whole is None:
+        return part
+    full = whole.join(sizes, ["graph_id", "seg"]).select(*key, "seg", (F.lit(0).cast("long") if down else F.col("size") - 1).alias("upto"))
+    return cut(part.union(full).groupBy(*key, "seg").agg((F.min if down else F.max)("upto").alias("upto")))
+
+
+def inside(segments: Segments, covered: DataFrame, by: tuple[str, ...] = (), down: bool = False) -> DataFrame:
+    """(*by, graph_id, id) of the commands that reach() covers."""
+    rows = segments.places.join(covered, ["graph_id", "seg"])
+    return rows.filter("off >= upto" if down else "off <= upto").select(*by, "graph_id", "id")
+
+
+def ancestors(commands: DataFrame, edges: DataFrame, seeds: DataFrame, segments: Segments | None = None) -> DataFrame:
+    """(graph_id, id) of the seeds and of everything above any of them."""
+    segments = segments or contract(commands, edges)
+    return inside(segments, reach(segments, seeds))
 
 
-def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs (graph_id, a, b) with ``above``: whether a lies strictly above b."""
-    up = ancestors(edges, pairs.select("graph_id", F.col("b").alias("id")))
-    up = up.filter("id <> seed").select("graph_id", F.col("seed").alias("b"), F.col("id").alias("a"), F.lit(True).alias("above"))
-    return pairs.join(up, ["graph_id", "a", "b"], "left").withColumn("above", F.coalesce("above", F.lit(False)))
+def is_ancestor(pairs: DataFrame, commands: DataFrame, edges: DataFrame, segments: Segments | None = None) -> DataFrame:
+    """pairs (graph_id, a, b, ...) with ``above``: whether a lies strictly above b.
+    Each pair of segments searches upwards from b's, no higher than a's."""
+    segments = segments or contract(commands, edges)
+    cuts, links = segment_cuts(segments).select("graph_id", "seg", "cut"), segments.links
+    asked = pairs.select("graph_id", "a", "b").distinct()
+    for side in ("a", "b"):
+        at = segments.places.join(cuts, ["graph_id", "seg"]).select("graph_id", F.col("id").alias(side), F.col("seg").alias(f"s{side}"), F.col("off").alias(f"o{side}"), F.col("cut").alias(f"c{side}"))
+        asked = asked.join(at, ["graph_id", side])
+    asked = cut(asked)
+    goal = ["graph_id", "sa", "sb"]
+    front = cut(asked.filter("sa <> sb AND ca < cb").select(*goal, "ca", F.col("sb").alias("seg")).distinct())
+    hits = None
+    while not front.isEmpty():
+        up = front.join(links, ["graph_id", "seg"]).select(*goal, "ca", F.col("parent").alias("seg"))
+        up = cut(up.join(cuts, ["graph_id", "seg"]).filter("cut > ca OR seg = sa").select(*goal, "ca", "seg").distinct())
+        met = up.filter("seg = sa").select(*goal)
+        hits = met if hits is None else hits.union(met)
+        front = cut(up.filter("seg <> sa").join(met, goal, "left_anti"))
+    linked = asked.join(hits.distinct().withColumn("_hit", F.lit(True)), goal, "left") if hits is not None else asked.withColumn("_hit", F.lit(False))
+    above = F.when(F.col("sa") == F.col("sb"), F.col("oa") < F.col("ob")).otherwise(F.coalesce("_hit", F.lit(False)))
+    found = linked.select("graph_id", "a", "b", above.alias("above"))
+    return pairs.join(found, ["graph_id", "a", "b"], "left").withColumn("above", F.coalesce("above", F.lit(False)))
 
 
-def common_ancestor(nodes: DataFrame, edges: DataFrame, depth: DataFrame) -> DataFrame:
-    """For each graph the deepest command that all given nodes have above them
-    (or are) and that no path from them to the root avoids.
+def waists(segments: Segments, cuts: DataFrame, covered: DataFrame, heads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The covered segments (*by, graph_id, seg, top, end: depths of their first
+    and last covered commands) with ``alone``: whether every way up from the heads
+    passes their commands. ``least`` is the depth of the shallowest head.
 
-    A command's strands are the paths from the nodes; one is passed by all of
-    them if no command of its depth or less has a child beyond that depth.
+    A level of the graph is passed by all if it holds one command and no edge leads
+    over it: commands and edges are counted as their levels open and close. A
+    graph's segments, not its commands, are put in order of level in one task.
     """
-    up = ancestors(edges, nodes)
-    n = nodes.groupBy("graph_id").agg(F.countDistinct("id").alias("_n"))
-    shared = up.groupBy("graph_id", "id").agg(F.count("*").alias("_c")).join(n, "graph_id").filter("_c = _n").join(depth, ["graph_id", "id"])
-    reach = up.select("graph_id", "id").distinct()
-    deep = depth.select("graph_id", F.col("id").alias("parent_id"), F.col("max_cut").alias("_top"))
-    spans = reach.join(edges, ["graph_id", "id"]).join(depth, ["graph_id", "id"]).join(deep, ["graph_id", "parent_id"])
-    # an edge from below a command's depth to above it passes the command by: count them as they open and close
-    turns = spans.select("graph_id", F.explode(F.array(F.struct((F.col("_top") + 1).alias("max_cut"), F.lit(1).alias("_d")), F.struct("max_cut", F.lit(-1).alias("_d")))).alias("t"))
-    turns = turns.select("graph_id", "t.max_cut", "t._d").union(shared.select("graph_id", "max_cut", F.lit(0)))
-    along = Window.partitionBy("graph_id").orderBy("max_cut").rowsBetween(Window.unboundedPreceding, 0)
-    open_at = turns.groupBy("graph_id", "max_cut").agg(F.sum("_d").alias("_d")).withColumn("_open", F.sum("_d").over(along))
-    free = open_at.filter("_open = 0").select("graph_id", "max_cut")
-    level = reach.join(depth, ["graph_id", "id"]).groupBy("graph_id", "max_cut").agg(F.count("*").alias("_alone"))
-    kept = shared.join(free, ["graph_id", "max_cut"]).join(level.filter("_alone = 1"), ["graph_id", "max_cut"])
-    return kept.groupBy("graph_id").agg(F.max_by("id", "max_cut").alias("id"), F.max("max_cut").alias("max_cut"))
+    key = [*by, "graph_id"]
+    spans = cut(covered.join(cuts, ["graph_id", "seg"]).select(*key, "seg", "size", F.col("cut").alias("top"), (F.col("cut") + F.col("upto")).alias("end")))
+    above = spans.select(*key, F.col("seg").alias("parent"), F.col("end").alias("_above"))
+    over = spans.join(segments.links, ["graph_id", "seg"]).join(above, [*key, "parent"]).select(*key, F.col("_above").alias("_from"), "top").filter("_from + 1 < top")
+
+    def turn(level: Column, n: int) -> Column:
+        return F.struct(level.alias("level"), F.lit(n).alias("n"))
+
+    turns = spans.select(*key, F.explode(F.array(turn(F.col("top"), 1), turn(F.col("end") + 1, -1))).alias("t"))
+    turns = turns.union(over.select(*key, F.explode(F.array(turn(F.col("_from") + 1, 1), turn(F.col("top"), -1))).alias("t")))
+    along = Window.partitionBy(*key).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    open_at = turns.groupBy(*key, "t.level").agg(F.sum("t.n").alias("n")).withColumn("open", F.sum("n").over(along))
+    at = heads.join(segments.places, ["graph_id", "id"]).join(cuts, ["graph_id", "seg"])
+    least = at.groupBy(*key).agg(F.min(F.col("cut") + F.col("off")).alias("least"))
+    rows = spans.join(open_at.select(*key, F.col("level").alias("top"), "open"), [*key, "top"]).join(least, key)
+    return rows.select(*key, "seg", "top", "end", "least", ((F.col("open") == 1) & (F.col("top") <= F.col("least"))).alias("alone"))
+
+
+def common_ancestor(nodes: DataFrame, commands: DataFrame, edges: DataFrame, segments: Segments | None = None) -> DataFrame:
+    """(graph_id, id, max_cut): the deepest command that every way from the given
+    nodes to the root passes (a node counts as passed by its own); none for a graph
+    without such a command."""
+    segments = segments or contract(commands, edges)
+    cuts = segment_cuts(segments)
+    nodes = nodes.select("graph_id", "id").distinct()
+    rows = waists(segments, cuts, reach(segments, nodes), nodes).filter("alone")
+    level = F.least("end", "least")
+    best = rows.groupBy("graph_id").agg(F.max_by(F.struct("seg", (level - F.col("top")).alias("off"), level.alias("max_cut")), level).alias("b"))
+    return best.select("graph_id", "b.*").join(segments.places, ["graph_id", "seg", "off"]).select("graph_id", "id", "max_cut")
+
+
+def locate(commands: DataFrame, addresses: DataFrame) -> DataFrame:
+    """The commands at the given addresses (graph_id, id, max_cut); both must agree."""
+    return commands.join(addresses.select("graph_id", "id", "max_cut").distinct(), ["graph_id", "id", "max_cut"], "left_semi")
+
+
+def commands_from(segments: Segments, locations: DataFrame) -> DataFrame:
+    """The rest of each location's segment: (graph_id, start, id, off) of the
+    commands from the location's (graph_id, id) on."""
+    at = locations.select("graph_id", "id").distinct().join(segments.places, ["graph_id", "id"])
+    at = at.select("graph_id", "seg", F.col("id").alias("start"), F.col("off").alias("_from"))
+    return segments.places.join(at, ["graph_id", "seg"]).filter("off >= _from").select("graph_id", "start", "id", (F.col("off") - F.col("_from")).alias("off"))
+
+
+def latest_heads(commands: DataFrame, edges: DataFrame, segments: Segments | None = None) -> DataFrame:
+    """(graph_id, head_id): the deepest head of each graph, of equal ones the smallest id."""
+    deep = heads(commands, edges).select("graph_id", "id").join(max_cut(commands, edges, segments), ["graph_id", "id"])
+    return deep.groupBy("graph_id").agg(F.min_by("id", F.struct(-F.col("max_cut"), "id")).alias("head_id"))
+
+
+def _fold_heads(heads: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs the heads first in, first out, until each graph has one: (graph_id,
+    head), and the merges of each round. A round halves all graphs' queues: an odd
+    last head goes to the front of the next round."""
+    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy("id")) - 1
+    n = F.count("*").over(Window.partitionBy("graph_id"))
+    rows = cut(heads.select("graph_id", "id").distinct().select("graph_id", rank.cast("long").alias("i"), n.alias("n"), F.col("id").cast("string").alias("id")))
+    merges = []
+    while not rows.filter("n > 1").isEmpty():
+        odd = F.col("n") % 2
+        pair = F.when((odd == 1) & (F.col("i") == F.col("n") - 1), F.lit(-1).cast("long")).otherwise(F.expr("i div 2"))
+        met = rows.groupBy("graph_id", "n", pair.alias("p")).agg(F.min_by("id", "i").alias("left"), F.max_by("id", "i").alias("right"), F.count("*").alias("c"))
+        met = cut(met.withColumn("id", F.when(F.col("c") == 2, merge_id(F.col("left"), F.col("right"))).otherwise(F.col("left"))))
+        merges.append(met.filter("c = 2").select("graph_id", "id", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")))
+        rows = met.select("graph_id", (F.col("p") + odd * (F.col("n") > 1).cast("long")).alias("i"), F.expr("(n + 1) div 2").alias("n"), "id")
+    return rows.select("graph_id", F.col("id").alias("head")), merges
+
+
+def synthetic_head(heads: DataFrame) -> DataFrame:
+    """(graph_id, head): the id of the merge that a graph's heads would come to; a
+    single head is its own. Ids are text."""
+    return _fold_heads(heads)[0]
+
+
+def collapse_heads(heads: DataFrame) -> DataFrame:
+    """(graph_id, id, left, right) of the merge commands that leave each graph one head."""
+    found = None
+    for m in _fold_heads(heads)[1]:
+        found = m if found is None else found.union(m)
+    return found if found is not None else heads.select("graph_id", *[F.col("id").cast("string").alias(c) for c in ("id", "left", "right")]).limit(0)

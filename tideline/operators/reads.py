@@ -14,7 +14,7 @@ from .schema import Fact, SchemaError
 
 
 def _side(facts: DataFrame, fact: Fact, on: dict[str, str], value: dict | None) -> DataFrame:
-    fact.check_key(on)
+    fact.check_key(dict.fromkeys(on, F.lit(None)))
     return scan(facts, fact, {}, value, ordered=False)
 
 
@@ -85,3 +85,9 @@ def map_facts(facts: DataFrame, fact: Fact, key: dict | None = None, **columns)
     """A row for each match of a key prefix. Values don't restrict a map; the
     body sees the facts as they were when it began, as any DataFrame does."""
     return scan(facts, fact, key, ordered=False).select(*[c.alias(n) for n, c in columns.items()])
+
+
+def map_nested(outer: DataFrame, facts: DataFrame, fact: Fact, on: dict[str, str], **columns) -> DataFrame:
+    """A map inside a map: a row for each outer row and each match of its key prefix."""
+    side = _side(facts, fact, on, None)
+    return outer.join(side, _equal(outer, side, on)).select(*[c.alias(n) for n, c in columns.items()])

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 KEY_TYPES = {"bigint", "boolean", "string", "binary", "int"}  # int: an enum's ordinal
 
 
+LITERALS = {"bigint": int, "int": int, "boolean": bool, "string": str, "binary": (bytes, bytearray), "double": float}
+
+
 class SchemaError(ValueError):
     """A literal or statement that the declared schema doesn't allow."""
 
@@ -23,9 +26,10 @@ class Fact:
     key: dict[str, str]
     value: dict[str, str] = field(default_factory=dict)
     immutable: bool = False
+    check: bool = True  # of the key's types; a key made by an operator can have others
 
     def __post_init__(self):
-        if bad := [k for k, t in self.key.items() if t not in KEY_TYPES]:
+        if self.check and (bad := [k for k, t in self.key.items() if t not in KEY_TYPES]):
             raise SchemaError(f"{self.name}: {', '.join(bad)} can't be a key")
         if both := self.key.keys() & self.value.keys():
             raise SchemaError(f"{self.name}: {', '.join(both)} is key and value")
@@ -39,13 +43,23 @@ class Fact:
             raise SchemaError(f"{self.name}: leading keys must be given before later ones")
         if whole and len(concrete) < len(self.key):
             raise SchemaError(f"{self.name}: every key must be given")
+        self._check_types(given, self.key)
         return concrete
 
+    def _check_types(self, given: dict, declared: dict[str, str]) -> None:
+        for name, value in given.items():
+            if value is None or isinstance(value, Column):
+                continue
+            want = LITERALS.get(declared[name])
+            if want and (not isinstance(value, want) or isinstance(value, bool) != (want is bool)):
+                raise SchemaError(f"{self.name}: {name} is {declared[name]}, not {type(value).__name__}")
+
     def check_value(self, given: dict, whole: bool = False) -> None:
         if unknown := given.keys() - self.value.keys():
             raise SchemaError(f"{self.name} has no value {', '.join(sorted(unknown))}")
         if whole and given.keys() != self.value.keys():
             raise SchemaError(f"{self.name}: every value must be given")
+        self._check_types(given, self.value)
 
     def rows(self, df: DataFrame) -> DataFrame:
         """df's columns in declared order and type."""

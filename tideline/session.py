@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", None):
         return found
+    if (chosen := spark.sparkContext.getCheckpointDir()) is not None:  # by setCheckpointDir
+        return chosen
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         root = os.path.join(tempfile.gettempdir(), "tideline-checkpoints")
         return f"file://{root}"
@@ -56,18 +58,44 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the application's part of the shared folder, which is removed
+    when the driver exits."""
+    top = f"{shared_dir(spark).rstrip('/')}/tideline-{spark.sparkContext.applicationId}"
+    if top not in _cleaned:
+        _cleaned.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner real sizes
-    for the joins that follow. The folder of an application is scratch space and
-    is removed when the driver exits.
+    for the joins that follow.
     """
-    spark = df.sparkSession
-    top = f"{shared_dir(spark).rstrip('/')}/tideline-{spark.sparkContext.applicationId}"
-    if top not in _cleaned:
-        _cleaned.add(top)
-        atexit.register(_remove, spark, top)
-    path = f"{top}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class cuts_of:
+    """A block whose intermediate tables are removed at its end: for a long-lived
+    application that runs many queries. What the block returns must be written
+    or collected inside it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = set(self._names())
+
+    def _names(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        self.top = jvm.org.apache.hadoop.fs.Path(scratch(self.spark)).getParent()
+        fs = self.top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().toString() for x in fs.listStatus(self.top)] if fs.exists(self.top) else []
+
+    def __exit__(self, *_) -> None:
+        for name in set(self._names()) - self.before:
+            _remove(self.spark, name)

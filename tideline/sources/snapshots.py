@@ -5,52 +5,58 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .files import Files
 
 
 class Snapshots:
     """Versions of a table under a folder on any file system of Spark's.
 
-    A version is visible once its marker, a single file, is renamed into place;
-    a commit that expects an older version than the current one is refused.
+    A version is visible once its marker is in place, a file that is named by the
+    version alone: of two commits from one version the second is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[tuple[int, str]]:
-        folder = self._path(f"{self.root}/_versions")
-        if not self._fs.exists(folder):
-            return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
-        return sorted((int(n.split("-")[0]), n.split("-", 1)[1]) for n in names if n[:1].isdigit())
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+
+    def versions(self) -> list[int]:
+        return [int(n) for n in self.files.names(f"{self.root}/versions")]
 
     def version(self) -> int:
-        return self.versions()[-1][0] if self.versions() else 0
+        return max(self.versions(), default=0)
+
+    def _marker(self, version: int) -> str:
+        return f"{self.root}/versions/{version:012d}"
 
     def commit(self, rows: DataFrame, expected: int | None = None) -> int:
         """Writes rows as the next version; ``expected`` is the one they were made from."""
-        now = self.version()
-        if expected is not None and expected != now:
-            raise RuntimeError(f"version {now} was committed since {expected}")
+        now = self.version() if expected is None else expected
+        if now != self.version():
+            raise RuntimeError(f"version {self.version()} was committed since {now}")
         name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}")
-        temporary, marker = self._path(f"{self.root}/_pending/{name}"), self._path(f"{self.root}/_versions/{now + 1:012d}-{name}")
-        self._fs.mkdirs(self._path(f"{self.root}/_pending"))
-        self._fs.mkdirs(self._path(f"{self.root}/_versions"))
-        self._fs.create(temporary).close()
-        if self.version() != now or not self._fs.rename(temporary, marker):
+        rows.write.parquet(f"{self.root}/rows/{name}")
+        if not self.files.put(self._marker(now + 1), name):
+            self.files.remove(f"{self.root}/rows/{name}")
             raise RuntimeError("another commit came first")
         return now + 1
 
     def read(self, version: int | None = None) -> DataFrame:
-        known = dict(self.versions())
-        return self.spark.read.parquet(f"{self.root}/{known[self.version() if version is None else version]}")
+        return self.spark.read.parquet(f"{self.root}/rows/{self.files.get(self._marker(self.version() if version is None else version))}")
+
+    def prune(self, keep: int = 3) -> None:
+        """Removes the rows of all but the last versions, the current one never."""
+        for version in self.versions()[: -max(keep, 1)]:
+            self.files.remove(f"{self.root}/rows/{self.files.get(self._marker(version))}")
+            self.files.remove(self._marker(version))
+
+    def remove_graph(self, graph_id, column: str = "graph_id") -> int:
+        """A version without one graph's rows."""
+        now = self.version()
+        return self.commit(self.read(now).filter(~F.col(column).eqNullSafe(F.lit(graph_id))), now)
 
     def remove(self) -> None:
-        self._fs.delete(self._path(self.root), True)
+        self.files.remove(self.root)
 
 
 def graph_ids(commands: DataFrame) -> DataFrame:

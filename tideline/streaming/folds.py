@@ -6,7 +6,7 @@ position, so a command that arrives late takes the place its position gives it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.facts import latest
@@ -26,6 +26,7 @@ def merge_into(snapshots: Snapshots, fact: Fact, position: list[str]):
         if seen:
             changes = changes.union(snapshots.read(seen).select(*columns))
         snapshots.commit(latest(changes, whole, position, keep_deleted=True), seen)
+        snapshots.prune()
 
     return run
 
@@ -44,7 +45,3 @@ def current(snapshots: Snapshots, fact: Fact) -> DataFrame:
 def windowed_counts(events: DataFrame, length: str, late: str) -> DataFrame:
     """Event-time counts; works on a stream (append mode) and on a table alike."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"))
-
-
-def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
