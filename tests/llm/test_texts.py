@@ -3,14 +3,18 @@
 import collections
 import math
 import random
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from fixtures import awkward, components, frame, prose, repeated, shingle_set, words
 
+from pyspark.sql import functions as F
 from tideline.llm import decontaminate, graph, hmm, importance, jaccard, licenses, suffixes, toxicity
+from tideline.llm.words import runs
 from tideline.llm.words import words as split
 
 EMPTY = "doc_id long, text string"
@@ -56,6 +60,61 @@ def test_toxicity_without_labels(spark):
     assert out.filter("predicted = 1").count() == 0 and out.count() == docs.count()
 
 
+def test_risk_gradient_is_that_of_differences():
+    rng = np.random.default_rng(3)
+    y = (rng.random(60) < 0.3).astype(int)
+    rows, cols = np.nonzero(rng.random((60, 7)) < 0.4)
+    w, b, h = rng.normal(size=7), 0.3, 1e-6
+    g = np.array([w[cols[rows == i]].sum() for i in range(60)]) + b
+    loss = lambda z: math.log1p(math.exp(-z))
+    gain = 0.2 * np.mean([loss(g[i]) for i in range(60) if y[i]])
+    rest = np.mean([loss(-g[i]) for i in range(60) if not y[i]]) - 0.2 * np.mean([loss(-g[i]) for i in range(60) if y[i]])
+    parts = toxicity.risk(w, b, rows, cols, y, 0.2)
+    assert [x[0] for x in parts] == pytest.approx([gain, rest])
+    for k in range(8):
+        step = np.eye(8)[k] * h
+        up, down = (toxicity.risk(w + d * step[:7], b + d * step[7], rows, cols, y, 0.2) for d in (1, -1))
+        for part in range(2):
+            assert (up[part][0] - down[part][0]) / (2 * h) == pytest.approx(parts[part][1][k], abs=1e-6)
+
+
+def test_toxicity_scores_and_counts_by_hand(spark):
+    rng = random.Random(5)
+    rows = [(i, f"{prose(rng, 30)} {'Vile-fool, BADWORD!' if i % 5 == 0 else ''}", "en", "a", 0) for i in range(200)] + [(300, None, None, None, 0), (301, "", "en", "a", 0)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 200, 2)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, toxicity.fold("doc_id") != 1)
+
+    def features(text):
+        plain = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "")).encode().lower().split()
+        out = set()
+        for x in plain:
+            w = split(pa.array([x.decode()]))
+            out.add(int(w.hash[0] >> np.uint64(64 - toxicity.BITS)))
+            for k in toxicity.BEGINNINGS:
+                if len(x) > k:
+                    h = split(pa.array([x[:k].decode()])).hash[0] ^ np.uint64(0x5851F42D4C957F2D)
+                    out.add(int(h >> np.uint64(64 - toxicity.BITS)))
+        return out
+
+    weight = dict(zip(model["features"].tolist(), model["weights"].tolist(), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text, *_ in rows:
+        z = model["offset"] + sum(weight.get(f, 0.0) for f in features(text))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+    counts, n = toxicity.feature_counts(docs)
+    want = collections.Counter(f for r in rows for f in features(r[1]))
+    assert n == len(rows) and {int(f): int(counts[f]) for f in np.flatnonzero(counts)} == dict(want)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    rows = [(7, f"text {k % 50}", "en", "a", 0) for k in range(3000)] + [(i, "w", "en", "a", 0) for i in range(10, 60)]
+    labels = spark.createDataFrame([(7, 1)] * 40 + [(i, 0) for i in range(10, 30)], "doc_id long, toxic int")
+    got, prior = toxicity.sample(frame(spark, rows), labels, F.lit(True), 20, 30)
+    kept = got.collect()
+    assert len(kept) <= 50 and [r.text for r in kept if r.positive] == ["text 0"] and prior == pytest.approx(40 / 60)
+
+
 def test_nnpu_gradient_lowers_the_risk():
     rng = np.random.default_rng(0)
     y = np.repeat([1, 0], [200, 800])
@@ -293,12 +352,32 @@ def test_forward_recursion_is_exact(monkeypatch):
     assert got == pytest.approx(want)
 
 
-def test_expected_counts_add_up():
+def test_expected_counts_are_those_of_the_whole_texts(monkeypatch):
+    monkeypatch.setattr(hmm, "WINDOW", 5)
     model = hmm.Model.first(3, seed=1)
-    x = np.random.default_rng(2).integers(0, 50, 40)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 50, n) for n in (1, 4, 5, 6, 23, 11)]
+    x, splits = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    text, start, length = hmm._windows(splits)
     sums = np.zeros(3 + 9 + hmm.CLASSES * 3)
-    hmm.expected(model, x, np.array([0, 10, 30]), np.array([10, 20, 10]), sums)
-    assert sums[:3].sum() == pytest.approx(3) and sums[3:12].sum() == pytest.approx(37) and sums[12:].sum() == pytest.approx(40)
+    log = hmm.expected(model, x, start, length, sums, *hmm.borders(model, x, text, start, length))
+    want, total = np.zeros_like(sums), 0.0
+    emit = want[12:].reshape(hmm.CLASSES, 3)
+    for seq in texts:  # forward and backward over each whole text
+        alpha = [model.start * model.emit[seq[0]]]
+        for k in seq[1:]:
+            alpha.append((alpha[-1] @ model.move) * model.emit[k])
+        beta = [np.ones(3)]
+        for k in seq[:0:-1]:
+            beta.insert(0, model.move @ (model.emit[k] * beta[0]))
+        p = alpha[-1].sum()
+        total += math.log(p)
+        want[:3] += alpha[0] * beta[0] / p
+        for t, k in enumerate(seq):
+            emit[k] += alpha[t] * beta[t] / p
+            if t:
+                want[3:12] += (np.outer(alpha[t - 1], model.emit[k] * beta[t]) * model.move / p).ravel()
+    assert log == pytest.approx(total) and sums == pytest.approx(want)
 
 
 def test_training_raises_the_likelihood(spark):
@@ -322,6 +401,40 @@ def test_importance_prefers_the_target(spark):
     assert sum(r.selected for r in got) == round(len(docs) * 0.75)
 
 
+def test_importance_by_hand(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), "en", "a", 0) for i in range(120)] + [(200, None, "en", "a", 0), (201, "", "en", "a", 0), (3, "again the", "en", "a", 0)]
+    good = set(range(0, 60, 4))
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(60)], "doc_id long, quality int")
+
+    def grams(text):
+        w = [split(pa.array([x.decode()])).hash for x in words(text)]
+        h = [int(x[0]) for x in w] + [int(runs(np.concatenate([x, y]), 2)[0]) for x, y in zip(w, w[1:], strict=False)]
+        return [x >> (64 - importance.BITS) for x in h]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, text, *_ in rows:
+        raw.update(grams(text))
+        target.update(grams(text) if i in good else [])
+    size, scale = 1 << importance.BITS, sum(raw.values()) / sum(target.values())
+
+    def ratio(g):
+        one = math.log((target[g] + 1) / (sum(target.values()) + size))
+        return one - math.log((raw[g] + scale) / (sum(raw.values()) + scale * size))
+
+    def noise(i):
+        h = xxhash.xxh64(struct.pack("<q", i), 42).intdigest()
+        u = ((xxhash.xxh64(struct.pack("<i", importance.SEED), h).intdigest() >> 11) + 0.5) / (1 << 53)
+        return -math.log(-math.log(u))
+
+    got = importance.op9(frame(spark, rows), labels).collect()
+    want = [(i, len(grams(t)), sum(map(ratio, grams(t)))) for i, t, *_ in rows]
+    keys = sorted((w + noise(i) for i, _, w in want), reverse=True)
+    least = keys[round(len(rows) * len(good) / 60) - 1]
+    near = lambda x: tuple(round(v, 6) if isinstance(v, float) else v for v in x)
+    assert sorted(near(r) for r in ((r.doc_id, r.n_grams, r.log_weight, r.key, r.selected) for r in got)) == sorted(near((i, n, w, w + noise(i), w + noise(i) >= least)) for i, n, w in want)
+
+
 def test_kth_largest(spark):
     rng = random.Random(8)
     values = [rng.choice([rng.gauss(0, 1), 1.5, -40.0]) for _ in range(3000)]
@@ -392,7 +505,15 @@ def test_empty_tables(spark):
 
 
 def test_extra_columns_change_nothing(spark):
-    df = frame(spark, awkward()).selectExpr("*", "1 AS score", "2 AS n", "3 AS tokens", "4 AS component", "5 AS _row", "6 AS word_start")
-    for keep in (jaccard.keep_one, suffixes.remove_repeats):
-        assert keep(df).columns == df.columns
+    df = frame(spark, awkward()).selectExpr("*", "1 AS score", "2 AS n", "3 AS tokens", "4 AS component", "5 AS _row", "6 AS word_start", "7 AS _id", "8 AS _spans", "9 AS rep", "10 AS item_id")
+    plain_df = frame(spark, awkward())
+    bench = spark.createDataFrame([(1, awkward()[0][1])], "item_id long, text string")
+    for keep in (jaccard.keep_one, suffixes.remove_repeats, lambda x: decontaminate.clean(x, bench)):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        own = ["doc_id", "text", "n_chars"]
+        assert sorted(map(str, kept.select(*own).collect())) == sorted(map(str, keep(plain_df).select(*own).collect()))
+        assert kept.filter("score <> 1 OR _id <> 7 OR _spans <> 8").count() == 0
+    for scan in (licenses.op2, hmm.op6):
+        assert sorted(map(str, scan(df).drop("score").collect())) == sorted(map(str, scan(plain_df).drop("score").collect()))
     assert "tokens" in toxicity.score(df, {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "offset": 0.0}).columns

@@ -8,10 +8,10 @@ a distributed table.
 
 Training is Baum-Welch over all training documents: each task adds up expected
 counts of starts, transitions and emissions, Spark sums them, and the driver
-turns the sums into the next model. Long documents are trained in windows.
-Scoring is the scaled forward recursion over the whole text, exact for any
-length: windows after the first are carried as state-to-state matrices and
-chained in order.
+turns the sums into the next model. Training and scoring are exact for texts of
+any length: windows after the first are carried as state-to-state matrices, by
+which what comes before and after each window is chained along its text.
+Scoring is the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -175,30 +175,39 @@ def _windows(splits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, splits[:-1][text] + number * WINDOW, np.minimum(WINDOW, n[text] - number * WINDOW)
 
 
-def expected(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray, sums: np.ndarray) -> float:
-    """Adds the windows' expected counts to sums; the log likelihood."""
+def expected(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray, sums: np.ndarray, before: np.ndarray, after: np.ndarray) -> float:
+    """Adds the windows' expected counts to sums; the log likelihood. ``before``
+    has the states' chances at the end of the window before (NaN for a text's first
+    window), ``after`` how likely what follows the window is from each state, to a
+    factor."""
     s = len(model.start)
     order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
+    start, length, before, after = start[order], length[order], before[order], after[order]
     live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+    first = np.isnan(before[:, 0])
+    entry = np.where(first[:, None], model.start, np.nan_to_num(before) @ model.move)
     alphas, scales, places = [], [], []
+    last = np.zeros((len(length), s))
     for t, n in enumerate(live):
         e = model.emit[x[start[:n] + t]]
-        a = (alphas[-1][:n] @ model.move if t else model.start) * e
+        a = (alphas[-1][:n] @ model.move if t else entry) * e
         scale = a.sum(1, keepdims=True)
         alphas.append(a / scale)
         scales.append(scale)
         places.append(e)
-    beta, xi = np.ones((len(length), s)), np.zeros((s, s))
+        last[:n] = alphas[-1]
+    beta, xi = after / (last * after).sum(1, keepdims=True), np.zeros((s, s))
     gammas = [None] * len(live)
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         gammas[t] = alphas[t] * beta[:n]
+        b = places[t] * beta[:n] / scales[t]
         if t:
-            b = places[t] * beta[:n] / scales[t]
             xi += alphas[t - 1][:n].T @ b
             beta[:n] = b @ model.move.T
-    sums[:s] += gammas[0].sum(0)
+        else:
+            xi += before[~first].T @ b[~first]  # the steps that lead into later windows
+    sums[:s] += gammas[0][first].sum(0)
     sums[s : s + s * s] += (xi * model.move).ravel()
     gamma = np.concatenate(gammas)
     seen = np.concatenate([x[start[:n] + t] for t, n in enumerate(live)])
@@ -208,13 +217,42 @@ def expected(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray,
     return float(sum(np.log(c).sum() for c in scales))
 
 
+def borders(model: Model, x: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of expected() for all windows of whole sequences, in order."""
+    n, s = len(text), len(model.start)
+    number = np.arange(n) - np.searchsorted(text, text)
+    before, after = np.full((n, s), np.nan), np.ones((n, s))
+    more = np.flatnonzero(number > 0)
+    if not len(more):
+        return before, after
+    lead = np.flatnonzero((number == 0) & np.append(text[1:] == text[:-1], False))
+    step, state = np.zeros((n, s, s)), np.zeros((n, s))
+    for k in range(0, len(more), GROUP):
+        at = more[k : k + GROUP]
+        step[at] = _run(model, x, start[at], length[at], False)[0]
+    for k in range(0, len(lead), GROUP):
+        at = lead[k : k + GROUP]
+        state[at] = _run(model, x, start[at], length[at], True)[0][:, 0]
+    state[lead] /= state[lead].sum(1, keepdims=True)
+    for j in range(1, number.max() + 1):  # the windows with one number, of all texts at once
+        at = np.flatnonzero(number == j)
+        before[at] = state[at - 1]
+        state[at] = np.einsum("ns,nsj->nj", state[at - 1], step[at])
+        state[at] /= state[at].sum(1, keepdims=True)
+    for j in range(number.max(), 0, -1):
+        at = np.flatnonzero(number == j)
+        after[at - 1] = np.einsum("nsj,nj->ns", step[at], after[at])
+        after[at - 1] /= after[at - 1].sum(1, keepdims=True)
+    return before, after
+
+
 def _flat(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = batch.column(k).value_lengths().to_numpy(zero_copy_only=False)
     return batch.column(k).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
 
 
 def train(rows: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """The model after the iterations, and the log likelihood of the windows before each."""
+    """The model after the iterations, and the log likelihood of the texts before each."""
     model, likelihood = Model.first(states), []
     spark = rows.sparkSession
     width = states + states**2 + CLASSES * states
@@ -225,9 +263,11 @@ def train(rows: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -
             now, sums, log = Model(*shared.value), np.zeros(width), 0.0
             for batch in batches:
                 x, splits = _flat(batch, 0)
-                _, start, length = _windows(splits)
+                text, start, length = _windows(splits)
+                before, after = borders(now, x, text, start, length)
                 for k in range(0, len(start), GROUP):
-                    log += expected(now, x, start[k : k + GROUP], length[k : k + GROUP], sums)
+                    on = slice(k, k + GROUP)
+                    log += expected(now, x, start[on], length[on], sums, before[on], after[on])
             found = np.flatnonzero(sums)
             yield pa.record_batch([pa.array(np.append(found, -1)), pa.array(np.append(sums[found], log))], names=["place", "n"])
 

@@ -107,7 +107,8 @@ def resample(documents: DataFrame, labels: DataFrame, share: float | None = None
 
     ``share`` of the rows is selected; by default the share of good documents
     among the labelled ones. Rows with equal keys are selected or not together,
-    which can only add to the k wanted. A null or empty text has log weight 0;
+    which can only add to the k wanted. A null or empty text has log weight 0, a
+    very long one the sum over all its n-grams; other columns are ignored. The
     noise comes from the id, a null id's from a fixed value. Without any good
     document the two models agree and the noise alone decides.
     """

@@ -8,8 +8,9 @@ fitted in numpy against the class-prior-corrected risk
 
 with the logistic loss; where the second term falls below zero the step goes
 against its own gradient, which keeps the model from fitting the unlabelled
-sample. The fit sees a bounded sample (POSITIVES and UNLABELLED documents); every
-document is scored, whole, in one pass without a shuffle.
+sample. Features are chosen by counts over all training documents; the fit sees a
+bounded sample (POSITIVES and UNLABELLED documents); every document is scored,
+whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import PLAIN, Words, pieces, span_hash, words
 
 BITS = 18
@@ -66,40 +68,43 @@ def sample(documents: DataFrame, labels: DataFrame, training: Column, positives:
     chosen = _sample(known.filter("toxic = 1"), positives, 1).withColumn("positive", F.lit(1)).unionByName(
         _sample(documents.filter(training), unlabelled, 2).withColumn("positive", F.lit(0))
     )
-    # bounded by the two limits, so small enough to send to every task
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), float(min(max(prior, 0.001), 0.9))
+    # bounded by the two limits, so small enough to send to every task; of an id that repeats, one text
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    return rows.select("doc_id", "text", "positive"), float(min(max(prior, 0.001), 0.9))
 
 
-def choose_features(rows: DataFrame, limit: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """The features most tied to positives, and how many standard errors their
-    rate there lies above their rate in the unlabelled sample."""
+def feature_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the texts each feature is, and how many texts there are: a
+    vector of fixed size from each task, summed in Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
-        docs = np.zeros(2, np.int64)
+        total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             for piece in pieces(batch):
-                label = piece.column(1).to_numpy(zero_copy_only=False)
                 text, feature = _features(words(piece.column(0), PLAIN))
-                both = np.unique(text << BITS | feature)
-                for k in range(2):
-                    mine = both[label[both >> BITS] == k]
-                    total[k] += np.bincount(mine & ((1 << BITS) - 1), minlength=1 << BITS)
-                    docs[k] += (label == k).sum()
-        found = np.flatnonzero(total.sum(0))
-        yield pa.record_batch([pa.array(np.append(found, -1)), *(pa.array(np.append(total[k][found], docs[k])) for k in (1, 0))], names=["feature", "p", "u"])
-
-    counts = rows.select("text", "positive").mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    totals = counts.filter("feature = -1").first()
-    if not totals or not totals.p or not totals.u:
+                total += np.bincount(np.unique(text << BITS | feature) & ((1 << BITS) - 1), minlength=1 << BITS)
+                n += piece.num_rows
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(found, -1)), pa.array(np.append(total[found], n))], names=["feature", "n"])
+
+    rows = texts.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(1 << BITS, np.int64)
+    out[feature[feature >= 0]] = n[feature >= 0]
+    return out, int(n[feature < 0].sum())
+
+
+def choose_features(positive: DataFrame, every: DataFrame, limit: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The features most tied to positives, and how many standard errors their
+    rate there lies above their rate in all training documents."""
+    (p, n_p), (u, n_u) = feature_counts(positive), feature_counts(every)
+    if not n_p or not n_u:
         return np.zeros(0, np.int64), np.zeros(0)
-    p, u = (F.col("p") + 0.5) / (totals.p + 1.0), (F.col("u") + 0.5) / (totals.u + 1.0)
-    score = (p - u) / F.sqrt((u + p) / F.lit(float(min(totals.p, totals.u))))
-    kept = counts.filter((F.col("feature") >= 0) & (F.col("p") >= LEAST_POSITIVES)).withColumn("score", score)
-    best = kept.orderBy(F.desc("score"), "feature").limit(limit).toPandas()
-    best = best[best.score > LEAST_SCORE]
-    order = np.argsort(best.feature.to_numpy(np.int64))
-    return best.feature.to_numpy(np.int64)[order], best.score.to_numpy()[order]
+    rate, base = (p + 0.5) / (n_p + 1.0), (u + 0.5) / (n_u + 1.0)
+    score = (rate - base) / np.sqrt((base + rate) / min(n_p, n_u))
+    kept = np.flatnonzero((p >= LEAST_POSITIVES) & (score > LEAST_SCORE))
+    kept = np.sort(kept[np.lexsort((kept, -score[kept]))[:limit]])
+    return kept, score[kept]
 
 
 def _table(features: np.ndarray) -> np.ndarray:
@@ -109,36 +114,40 @@ def _table(features: np.ndarray) -> np.ndarray:
     return out
 
 
+def risk(w: np.ndarray, b: float, rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: float) -> tuple[tuple[float, np.ndarray], tuple[float, np.ndarray]]:
+    """The risk's positive and negative part, each with its gradient (weights, then offset)."""
+    n, p, u = len(positive), positive == 1, positive == 0
+    g = np.bincount(rows, w[cols], n) + b
+    sig = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    gain = prior * np.logaddexp(0, -g[p]).mean()
+    loss = np.logaddexp(0, g[u]).mean() - prior * np.logaddexp(0, g[p]).mean()
+    d_gain, d_loss = np.zeros(n), np.zeros(n)
+    d_gain[p] = -prior * (1 - sig[p]) / p.sum()
+    d_loss[u] = sig[u] / u.sum()
+    d_loss[p] = -prior * sig[p] / p.sum()
+    gradient = lambda d: np.append(np.bincount(cols, d[rows], len(w)), d.sum())
+    return (float(gain), gradient(d_gain)), (float(loss), gradient(d_loss))
+
+
 def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear model; row and column of each feature that is there."""
-    n = len(positive)
-    p, u = positive == 1, positive == 0
-    w, b = np.zeros(n_features), np.log(prior / (1 - prior))
-    m, v, step = np.zeros(n_features + 1), np.zeros(n_features + 1), 0
-    if not p.any() or not u.any():
-        return w, float(b)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
+    w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    if not (positive == 1).any() or not (positive == 0).any():
+        return w, b
     for step in range(1, steps + 1):
-        g = np.bincount(rows, w[cols], n) + b
-        negative = soft(g[u]).mean() - prior * soft(g[p]).mean()
-        d = np.zeros(n)
-        d[u] += sig(g[u]) / u.sum()
-        d[p] -= prior * sig(g[p]) / p.sum()
-        if negative < 0:
-            d = -d
-        else:
-            d[p] -= prior * sig(-g[p]) / p.sum()
-        grad = np.append(np.bincount(cols, d[rows], n_features) + decay * w, d.sum())
+        (_, d_gain), (loss, d_loss) = risk(w, b, rows, cols, positive, prior)
+        grad = (-d_loss if loss < 0 else d_gain + d_loss) + decay * np.append(w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        w, b = w - move[:-1], b - float(move[-1])
+    return w, b
 
 
 def fit(documents: DataFrame, labels: DataFrame, training: Column) -> dict:
     rows, prior = sample(documents, labels, training)
-    features, _ = choose_features(rows)
+    rows = cut(rows)
+    features, _ = choose_features(rows.filter("positive = 1"), documents.filter(training))
     table = _table(features)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +172,9 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> dict:
 def score(documents: DataFrame, model: dict) -> DataFrame:
     """documents with score and predicted; the text alone decides.
 
-    Null and empty texts get the score of a text without any kept feature. Ids
-    may be null or repeat; rows are scored one by one.
+    Null and empty texts get the score of a text without any kept feature; a very
+    long one is scored whole. Ids may be null or repeat; rows are scored one by
+    one. Columns named score and predicted are replaced, others kept as they are.
     """
     own = [c for c in documents.columns if c not in ("score", "predicted")]
     boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("_row"), F.col("text"))
