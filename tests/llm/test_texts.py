@@ -139,23 +139,80 @@ def test_license_lines_and_paragraphs(spark):
     assert not {3, 4, 5, 6} & {i for i, _ in got}
 
 
-def test_license_dice_is_that_of_all_pairs(spark):
+def plain_words(text):
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).lower().split()
+
+
+def license_places(text):
+    """(license, unit, dice, n_units) by all units and all windows, each compared with each template."""
+    numbers, k = [], 0
+    for line_no, line in enumerate(text.split("\n")):
+        numbers += [line_no] * len(plain_words(line))
+    w = plain_words(text)
+    pairs = lambda x: {tuple(x[i : i + 2]) for i in range(max(len(x) - 1, 1))} if x else set()
+    paragraph = [sum(b - a > 1 for a, b in zip(numbers[: i + 1], numbers[1 : i + 1], strict=False)) for i in range(len(w))]
+    units = []
+    for kind, of in enumerate((numbers, paragraph, [0] * len(w))):
+        for u in sorted(set(of)):
+            at = [i for i, x in enumerate(of) if x == u]
+            units.append((at[0], at[-1] + 1, kind, None))
+    found = []
+    for name, template in licenses.TEMPLATES:
+        t = plain_words(template)
+        size, mine = len(pairs(t)), pairs(t)
+        dice = lambda a, b: 2 * len(pairs(w[a:b]) & mine) / (len(pairs(w[a:b])) + size)  # noqa: B023, E731
+        found += [(dice(a, b), a, b, kind, name, size) for a, b, kind, _ in units if dice(a, b) >= licenses.THRESHOLD]
+        best, end = [], -1
+        for p in range(len(w) - len(t) + 1):
+            x = dice(p, p + len(t))
+            if x < licenses.THRESHOLD:
+                continue
+            if p >= end:
+                best.append((x, p))
+            elif x > best[-1][0]:
+                best[-1] = (x, p)
+            end = p + len(t)
+        found += [(x, p, p + len(t), 3, name, size) for x, p in best]
+    kept = []
+    for x in sorted(found, key=lambda f: (-f[0], -f[5], f[1], f[2] - f[1], f[3], f[4])):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+            kept.append(x)
+    out = {}
+    for x in kept:
+        out.setdefault(x[4], [licenses.KINDS[x[3]], x[0], 0])[2] += 1
+    return {(name, u, round(d, 9), n) for name, (u, d, n) in out.items()}
+
+
+def test_license_places_are_those_of_all_windows(spark):
     rng = random.Random(4)
-    lines = []
-    for k in range(300):
-        w = rng.choice(licenses.TEMPLATES)[1].split()
-        for _ in range(rng.randrange(4)):
+    docs, planted = [], {}
+    for k in range(60):
+        name, template = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        w = template.split()
+        for _ in range(rng.randrange(1 + len(w) // 25)):  # altered
             w[rng.randrange(len(w))] = rng.choice(["a", "of", "free", "code"])
-        lines.append((k, " ".join(w)))
-    got = {(r.doc_id, r.license): r.dice for r in licenses.scan_licenses(spark.createDataFrame(lines, EMPTY)).collect()}
-    want = {}
-    for k, text in lines:
-        own = licenses.bigrams(text)
-        for name, template in licenses.TEMPLATES:
-            t = licenses.bigrams(template)
-            if (dice := 2 * len(own & t) / (len(own) + len(t))) >= licenses.THRESHOLD:
-                want[k, name] = max(dice, want.get((k, name), 0))
-    assert got == pytest.approx(want) and len(want) > 100
+        body = " ".join(w)
+        if k % 3 == 0:  # wrapped, with comment marks and line ends of other systems
+            body = "\r\n".join(" * " + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        gap = ["\n \t\n", "\r\n\r\n", " ", "\n"][k % 4]  # embedded where there is no border
+        docs.append((k, f"{prose(rng, rng.randrange(30, 90))}{gap}{body}{gap}{prose(rng, 40)}"))
+        planted[k] = name
+    docs.append((900, "\n".join(t for _, t in licenses.TEMPLATES)))
+    docs.append((901, prose(rng, 400)))
+    got = collections.defaultdict(set)
+    for r in licenses.scan_licenses(spark.createDataFrame(docs, EMPTY).repartition(3)).collect():
+        got[r.doc_id].add((r.license, r.unit, round(r.dice, 9), r.n_units))
+    assert dict(got) == {k: x for k, t in docs if (x := license_places(t))}
+    assert sum(name in {x[0] for x in got[k]} for k, name in planted.items()) >= 0.95 * len(planted)
+    assert {x[0] for x in got[k] if k == 16} <= {licenses.TEMPLATES[16][0]} and not got[901]
+
+
+def test_license_texts_are_told_apart(spark):
+    whole = [(k, f"Copyright (c) 2020 Someone\n\n{t}\n") for k, (_, t) in enumerate(licenses.TEMPLATES) if len(t) > 400]
+    got = collections.defaultdict(set)
+    for r in licenses.scan_licenses(spark.createDataFrame(whole, EMPTY)).collect():
+        got[r.doc_id].add(r.license)
+    assert got == {k: {licenses.TEMPLATES[k][0]} for k, _ in whole}
 
 
 # --- 3 near duplicates -------------------------------------------------------------
