@@ -444,6 +444,74 @@ def test_training_raises_the_likelihood(spark):
     assert all(b >= a for a, b in zip(log, log[1:], strict=False)) and log[-1] > log[0]
 
 
+def test_scores_are_those_of_a_model_with_emissions_for_each_word(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "FREQUENT", 7)  # the other words meet their counts in the join
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randrange(0, 40), [f"{'ab'[i % 2]}{k}" for k in range(12)]) + (f" once{i}" if i % 3 else ""), "en", "s", 0) for i in range(60)]
+    rows += [(61, None, "en", "s", 0), (None, "a1 b2 a1 never", "en", "s", 0), (0, "a1 never never", "en", "s", 0), (60, prose(rng, 600, ["a1", "b2", "c3"]), "en", "s", 0)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    docs = frame(spark, rows).select("doc_id", "text").withColumn("held_out", F.expr("coalesce(crc32(cast(doc_id as string)), 0) % 10 = 0"))
+    training = docs.filter("not held_out")
+    v = hmm.Vocabulary(hmm.word_counts(training), training.count())
+    seqs = hmm.sequences(docs, spark.sparkContext.broadcast(v))
+    model, _ = hmm.train(seqs.filter("not held_out"))
+    assert 0 < len(v.words) <= 7
+
+    s, count, sums = hmm.STATES, collections.Counter(), collections.defaultdict(lambda: np.zeros(hmm.STATES))
+    start, move = np.full(s, 1e-3), np.full((s, s), 1e-3)
+    texts = [[*words(r[1]), None] for r in rows]  # None: the end mark
+    classes = {}  # of a text, those that the first iterations tied its tokens to
+    for of, r in zip([x.classes for x in seqs.orderBy("row").collect()], docs.collect(), strict=True):
+        classes[(*words(r.text), None)] = of
+    for r, t in zip(rows, texts, strict=True):
+        if held(r[0]):
+            continue
+        e = [model.emit[k] for k in classes[tuple(t)]]
+        alpha, beta = [model.start * e[0]], [np.ones(s)]
+        alpha[0] /= alpha[0].sum()
+        for x in e[1:]:
+            alpha.append((alpha[-1] @ model.move) * x)
+            alpha[-1] /= alpha[-1].sum()
+        for x in e[:0:-1]:
+            beta.insert(0, model.move @ (x * beta[0]))
+            beta[0] /= beta[0].sum()
+        for k, w in enumerate(t):
+            gamma = alpha[k] * beta[k]
+            sums[w] += gamma / gamma.sum()
+            count[w] += 1
+            if k:
+                xi = np.outer(alpha[k - 1], e[k] * beta[k]) * model.move
+                move += xi / xi.sum()
+            else:
+                start += gamma / gamma.sum()
+    start, move = start / start.sum(), move / move.sum(1, keepdims=True)
+    total, share = sum(count.values()), sum(sums.values()) / sum(count.values())
+    den = total + 0.1 * (len(count) + 1)
+    weigh = lambda w: (count[w] + 0.1) / den * ((sums[w] if w in sums else 0) + share) / (count[w] + 1)
+    norm = sum(weigh(w) for w in list(count)) + weigh("never")
+    want = collections.Counter()
+    for r, t in zip(rows, texts, strict=True):
+        a, log = start * weigh(t[0]) / norm, 0.0
+        for k, w in enumerate(t):
+            a = (a @ move) * weigh(w) / norm if k else a
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        want[r[0], len(t), round(log, 5)] += 1
+    got = hmm.op6(frame(spark, rows))
+    assert collections.Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in got.collect()) == want
+
+    found = hmm.word_sums(seqs.filter("not held_out"), model, spark.sparkContext.broadcast(v))
+    assert found.filter(F.col("kind") == hmm.WORD).count() == len(count) - 1  # a row for each training word
+    e = hmm.Emissions(found, v, s)
+    per_word = [e.of(np.array([count[w]]), sums[w][None])[0] for w in count]
+    assert sum(per_word) + e.unknown == pytest.approx(np.ones(s))
+
+
+def test_scores_without_training_documents(spark):
+    got = hmm.op6(frame(spark, [(None, "a b", "en", "s", 0), (None, None, "en", "s", 0)])).collect()
+    assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(0, 0, 0.0, 0.0)] * 2
+
+
 # --- 9 importance ------------------------------------------------------------------
 
 

@@ -1,17 +1,20 @@
 """Language model scoring with a hidden Markov model.
 
-States emit word classes, a class emits words. The most frequent training words
-and the end mark are classes of their own; all others share hashed classes, in
-which a word has its smoothed share of the class's tokens. So the model's
-parameters have a fixed size, while word counts, exact for every word, stay in
-a distributed table.
+A state emits a word w with probability base(w) * share(w, state) / norm(state):
+base is the word's smoothed frequency, share how often the state emits w when w
+occurs. Shares come from a word's own expected counts, so the model has a row
+for each training word, in a distributed table that grows with the corpus. Over
+all training words, the end mark and one unknown word, a state's emissions add
+up to 1.
 
 Training is Baum-Welch over all training documents: each task adds up expected
-counts of starts, transitions and emissions, Spark sums them, and the driver
-turns the sums into the next model. Training and scoring are exact for texts of
-any length: windows after the first are carried as state-to-state matrices, by
-which what comes before and after each window is chained along its text.
-Scoring is the scaled forward recursion.
+counts, Spark sums them. The first iterations tie words to classes (the most
+frequent words and the end mark have their own, all others share hashed
+classes), so that the driver can turn the sums into the next model. The last
+iteration, from there, counts for each word and state. Training and scoring are
+exact for texts of any length: windows after the first are carried as
+state-to-state matrices, by which what comes before and after each window is
+chained along its text. Scoring is the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,9 @@ FREQUENT = 1 << 19  # words looked up where the text is; the others meet their c
 WINDOW = 256
 ITERATIONS = 4
 DELTA = 0.1
+PRIOR = 1.0  # occurrences that a word's shares of the states are smoothed by
 GROUP = 2048  # windows handled at once
+TOKENS = 1 << 18  # handled at once, one text at least
 HELD = 10
 
 
@@ -88,60 +94,52 @@ class Vocabulary:
         self.documents = documents
         self.tokens = int(totals[1] or 0) + documents
         self.distinct = int(totals[0]) + (documents > 0)
-        own, frequent = _least_count(counts, OWN - 1), _least_count(counts, FREQUENT)
-        table = counts.filter(F.col("c") >= frequent).toArrow()  # FREQUENT rows at most
+        own, self.frequent = _least_count(counts, OWN - 1), _least_count(counts, FREQUENT)
+        table = counts.filter(F.col("c") >= self.frequent).toArrow()  # FREQUENT rows at most
         h = table.column("word").to_numpy().view(np.uint64)
         order = np.argsort(h)
         self.words, c = h[order], table.column("c").to_numpy()[order].astype(np.float64)
-        hashed = counts.filter(F.col("c") < own).groupBy(F.call_function("shiftrightunsigned", F.col("word"), F.lit(64 - CLASS_BITS)).alias("k"))
-        size, kinds = np.zeros(OWN), np.zeros(OWN)
-        for r in hashed.agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # OWN rows at most
-            size[r.k], kinds[r.k] = r.c, r.n
-        self.log_class = np.log10(size + DELTA * (kinds + 1))
         self.log_total = float(np.log10(self.tokens + DELTA * (self.distinct + 1)))
         alone = c >= own
         k = (self.words >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
         self.classes = np.where(alone, 1 + np.cumsum(alone) - 1, OWN + k).astype(np.int16)
         self.classes[alone] = np.arange(1, alone.sum() + 1)
         self.base = np.log10(c + DELTA) - self.log_total
-        self.within = np.where(alone, 0.0, np.log10(c + DELTA) - self.log_class[k])
         self.end_base = float(np.log10(documents + DELTA)) - self.log_total
 
 
-def sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """For each document: row, doc_id, held_out, n (words), known, base and within
-    (log10 sums of its frequent words), rare_class (log10 sum of the rare words'
-    class sizes), classes (with the end mark), rare (hashes of the other words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = ["row", "doc_id", "held_out", "n", "known", "base", "within", "rare_class", "classes", "rare"]
+def sequences(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """For each document: row, doc_id, held_out, n (words), known and base (number
+    and log10 sum of its frequent words), classes and places (in the vocabulary's
+    words, from 1; 0 is the end mark, -1 any other word) of all its tokens, and rare
+    (the other words' hashes, in order)."""
+    names = ["row", "doc_id", "held_out", "n", "known", "base", "classes", "places", "rare"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = vocabulary.value
         row = TaskContext.get().partitionId() << 33  # kept with the row in the written table
         for batch in batches:
             for piece in pieces(batch):
                 w, rows = words(piece.column(2)), piece.num_rows
                 at = np.minimum(np.searchsorted(v.words, w.hash), max(len(v.words) - 1, 0))
                 hit = v.words[at] == w.hash if len(v.words) else np.zeros(len(w.hash), bool)
-                k = (w.hash >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-                cls = (OWN + k).astype(np.int16)
+                cls = (OWN + (w.hash >> np.uint64(64 - CLASS_BITS)).astype(np.int64)).astype(np.int16)
                 cls[hit] = v.classes[at[hit]]
                 text, rare = w.text_of, ~hit
-                add = lambda x, on: np.bincount(text[on], x, rows).astype(np.float64)  # noqa: B023, E731
-                every = np.zeros(len(cls) + rows, np.int16)  # the end mark is class 0
-                every[np.arange(len(cls)) + text] = cls
+                every = np.arange(len(cls)) + text  # the end mark is class 0 and place 0
+                classes, places = np.zeros(len(cls) + rows, np.int16), np.zeros(len(cls) + rows, np.int32)
+                classes[every], places[every] = cls, np.where(hit, at + 1, -1)
                 yield pa.record_batch(
                     [
                         pa.array(np.arange(row, row + rows)), piece.column(0), piece.column(1), pa.array(w.counts),
-                        pa.array(np.bincount(text[hit], minlength=rows)), pa.array(add(v.base[at[hit]], hit)), pa.array(add(v.within[at[hit]], hit)),
-                        pa.array(add(v.log_class[k[rare]], rare)), lists(every, w.counts + 1),
-                        lists(w.hash[rare].view(np.int64), np.bincount(text[rare], minlength=rows)),
+                        pa.array(np.bincount(text[hit], minlength=rows)), pa.array(np.bincount(text[hit], v.base[at[hit]], rows).astype(np.float64)),
+                        lists(classes, w.counts + 1), lists(places, w.counts + 1), lists(w.hash[rare].view(np.int64), np.bincount(text[rare], minlength=rows)),
                     ],
                     names=names,
                 )
                 row += rows
 
-    kinds = "row long, doc_id long, held_out boolean, n long, known long, base double, within double, rare_class double, classes array<short>, rare array<long>"
+    kinds = "row long, doc_id long, held_out boolean, n long, known long, base double, classes array<short>, places array<int>, rare array<long>"
     return cut(docs.select("doc_id", "held_out", "text").mapInArrow(scan, kinds))
 
 
@@ -211,9 +209,9 @@ def expected(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray,
     sums[s : s + s * s] += (xi * model.move).ravel()
     gamma = np.concatenate(gammas)
     seen = np.concatenate([x[start[:n] + t] for t, n in enumerate(live)])
-    emit = sums[s + s * s :].reshape(CLASSES, s)
+    emit = sums[s + s * s :].reshape(-1, s)
     for k in range(s):
-        emit[:, k] += np.bincount(seen, gamma[:, k], CLASSES)
+        emit[:, k] += np.bincount(seen, gamma[:, k], len(emit))
     return float(sum(np.log(c).sum() for c in scales))
 
 
@@ -251,6 +249,14 @@ def _flat(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(k).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
 
 
+def _parts(batch: pa.RecordBatch, k: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` values in lists k, one row at least."""
+    n = np.cumsum(batch.column(k).value_lengths().to_numpy(zero_copy_only=False)) // limit
+    borders = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for a, b in zip(borders, borders[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def train(rows: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
     """The model after the iterations, and the log likelihood of the texts before each."""
     model, likelihood = Model.first(states), []
@@ -325,42 +331,129 @@ def likelihoods(model: Model, x: np.ndarray, splits: np.ndarray) -> np.ndarray:
     return out + np.log(alpha.sum(1))
 
 
+WORD, END, START, MOVE = range(4)  # kinds of rows of word_sums
+
+
+def word_sums(rows: DataFrame, model: Model, vocabulary: Broadcast) -> DataFrame:
+    """(kind, word, c, n0, n1, ...): a training word's count and expected counts in
+    the states; the same of the end mark, of starts, and of moves from state ``word``."""
+    shared, s = rows.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit)), len(model.start)
+    names = [f"n{k}" for k in range(s)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, v = Model(*shared.value), vocabulary.value
+        for batch in batches:
+            for part in _parts(batch, 0, TOKENS):
+                cls, splits = _flat(part, 0)
+                place = _flat(part, 1)[0]
+                h = np.empty(len(cls), np.uint64)
+                h[place > 0] = v.words[place[place > 0] - 1]
+                h[place < 0] = _flat(part, 2)[0].view(np.uint64)
+                is_word = place != 0
+                word, one, at = np.unique(h[is_word], return_index=True, return_inverse=True)
+                x = np.full(len(cls), len(word))  # this part's words, then the end mark
+                x[is_word] = at
+                local = Model(now.start, now.move, now.emit[np.append(cls[is_word][one], 0)])
+                sums = np.zeros(s + s * s + (len(word) + 1) * s)
+                text, start, length = _windows(splits)
+                before, after = borders(local, x, text, start, length)
+                for k in range(0, len(start), GROUP):
+                    on = slice(k, k + GROUP)
+                    expected(local, x, start[on], length[on], sums, before[on], after[on])
+                n = np.concatenate([sums[s + s * s :], sums[: s + s * s]]).reshape(-1, s)
+                kind = np.repeat(np.array([WORD, END, START, MOVE], np.int8), [len(word), 1, 1, s])
+                key = np.concatenate([word.view(np.int64), [0, 0], np.arange(s)])
+                c = np.concatenate([np.bincount(x, minlength=len(word) + 1), np.zeros(1 + s, np.int64)])
+                yield pa.record_batch([pa.array(kind), pa.array(key), pa.array(c), *(pa.array(n[:, k].copy()) for k in range(s))], names=["kind", "word", "c", *names])
+
+    kinds = "kind byte, word long, c long, " + ", ".join(f"{x} double" for x in names)
+    found = rows.select("classes", "places", "rare").mapInArrow(scan, kinds)
+    return found.groupBy("kind", "word").agg(*[F.sum(x).alias(x) for x in ["c", *names]])
+
+
+class Emissions:
+    """The last model: start, move, and the emissions of words of given counts; those
+    of the vocabulary's words by place."""
+
+    def __init__(self, sums: DataFrame, vocabulary: Vocabulary, states: int):
+        v, names = vocabulary, [f"n{k}" for k in range(states)]
+        few = {(r.kind, r.word): np.array([r[x] for x in names]) for r in sums.filter(F.col("kind") != WORD).collect()}  # states + 2 rows
+        none = np.zeros(states)
+        self.start = few.get((START, 0), none) + 1e-3
+        self.start /= self.start.sum()
+        self.move = np.array([few.get((MOVE, k), none) for k in range(states)]) + 1e-3
+        self.move /= self.move.sum(1, keepdims=True)
+        weight = (F.col("c") + F.lit(DELTA)) / (F.col("c") + F.lit(PRIOR))
+        of_words = sums.filter(F.col("kind") == WORD)
+        got = of_words.agg(F.sum(weight), *[F.sum(x) for x in names], *[F.sum(F.col(x) * weight) for x in names]).first()
+        got = np.array([x or 0.0 for x in got])
+        end, n = few.get((END, 0), none), v.documents
+        self.share = (got[1 : 1 + states] + end) / v.tokens if v.tokens else np.full(states, 1 / states)
+        self.total = v.tokens + DELTA * (v.distinct + 1)
+        end_weight = (n + DELTA) / (n + PRIOR) if n else 0.0
+        self.norm = got[1 + states :] + PRIOR * self.share * got[0] + end_weight * (end + PRIOR * self.share) + DELTA * self.share
+        self.norm /= self.total
+        self.unknown = DELTA * self.share / self.total / self.norm
+        first = self.of(np.array([n]), end[None]) if n else self.unknown[None]
+        self.table = np.concatenate([first, np.tile(self.unknown, (len(v.words), 1))])
+        table = of_words.filter(F.col("c") >= v.frequent).toArrow()  # the vocabulary's words
+        at = np.searchsorted(v.words, table.column("word").to_numpy().view(np.uint64))
+        self.table[1 + at] = self.of(table.column("c").to_numpy(), np.stack([table.column(x).to_numpy() for x in names], 1))
+
+    def of(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of words with counts c and expected counts n (words, states)."""
+        weight = (c + DELTA) / (c + PRIOR) / self.total
+        return weight[:, None] * (n + PRIOR * self.share) / self.norm
+
+
 def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     A null or empty text is the end mark alone. Rows are scored one by one, so
     repeated rows and ids give repeated results; a null id counts as held out.
-    Without training documents every token is unknown. Other columns are ignored.
+    Without training documents every token is unknown, and both scores are 0. A
+    very long text is scored whole. Other columns are ignored.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", fold("doc_id", HELD) == 0)
     training = docs.filter(~F.col("held_out"))
-    counts = cut(word_counts(training))
-    v = Vocabulary(counts, training.select("doc_id").count())
-    rows = sequences(docs, v)
-    model, _ = train(rows.filter(~F.col("held_out")), states, iterations)
-    shared = documents.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
+    v = Vocabulary(cut(word_counts(training)), training.select("doc_id").count())
+    vocabulary = spark.sparkContext.broadcast(v)
+    rows = sequences(docs, vocabulary)
+    known = rows.filter(~F.col("held_out"))
+    sums = cut(word_sums(known, train(known, states, iterations)[0], vocabulary))
+    emissions = spark.sparkContext.broadcast(Emissions(sums, v, states))
+    names = [f"n{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Model(*shared.value)
+        e = emissions.value
         for batch in batches:
-            x, splits = _flat(batch, 7)
-            log = likelihoods(now, x, splits) / np.log(10)
-            yield pa.record_batch([*batch.columns[:7], pa.array(log)], names=[*batch.schema.names[:7], "log"])
-
-    scored = rows.select("row", "doc_id", "held_out", "n", "known", "base", F.expr("within - rare_class").alias("within"), "classes").mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n long, known long, base double, within double, log double"
-    )
-    # a rare word's count is below FREQUENT's, so no key of this join is hot
-    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(
-        F.count("*").alias("rare"), F.count("c").alias("rare_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(DELTA))).alias("rare_log")
+            for part in _parts(batch, 7, TOKENS):
+                place, splits = _flat(part, 7)
+                emit = e.table[np.maximum(place, 0)]
+                rare = np.flatnonzero(place < 0)
+                emit[rare] = e.unknown
+                at, c, *n = [x.to_numpy(zero_copy_only=False) for x in part.column(8).flatten().flatten()]
+                text = np.repeat(np.arange(part.num_rows), part.column(8).value_lengths().to_numpy(zero_copy_only=False))
+                emit[rare[np.searchsorted(rare, splits[:-1])[text] + at]] = e.of(c, np.stack(n, 1))
+                log = likelihoods(Model(e.start, e.move, emit), np.arange(len(place)), splits) / np.log(10)
+                yield pa.record_batch([*part.columns[:7], pa.array(log)], names=[*part.schema.names[:7], "score"])
+
+    # a rare word's count is below the vocabulary's words', so no key of this join is hot;
+    # what meets in a row is one text's words
+    rare = rows.select("row", F.posexplode("rare").alias("at", "word")).join(sums.filter(F.col("kind") == WORD), "word").groupBy("row").agg(
+        F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + F.lit(DELTA))).alias("rare_log"), F.collect_list(F.struct("at", "c", *names)).alias("found")
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.join(rare, "row", "left").select(
-        "doc_id", "held_out", (F.col("n") + 1).alias("n_tokens"),
-        (F.col("known") + zero("rare_known") + F.lit(int(v.documents > 0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_log") - zero("rare") * F.lit(v.log_total) + F.lit(v.end_base)).alias("base_score"),
-        (F.col("log") + F.col("within") + zero("rare_log")).alias("score"),
-    )
+    others = F.size("rare") - zero("rare_known")
+    base = F.col("base") + zero("rare_log") + others * F.lit(float(np.log10(DELTA))) - F.size("rare") * F.lit(v.log_total) + F.lit(v.end_base)
+    nothing = F.array().cast("array<struct<at int, c long, " + ", ".join(f"{x} double" for x in names) + ">>")
+    return rows.join(rare, "row", "left").select(
+        "doc_id", "held_out", (F.col("n") + 1).alias("n_tokens"), (F.col("known") + zero("rare_known") + F.lit(int(v.documents > 0))).alias("n_known"),
+        F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "row", "places", F.coalesce("found", nothing).alias("found"),
+    ).mapInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, row long, score double"
+    ).drop("row")
 
 
 def op6(documents: DataFrame) -> DataFrame:
