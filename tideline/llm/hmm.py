@@ -184,12 +184,13 @@ def expected(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray,
     live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
     first = np.isnan(before[:, 0])
     entry = np.where(first[:, None], model.start, np.nan_to_num(before) @ model.move)
-    alphas, scales, places = [], [], []
-    last = np.zeros((len(length), s))
+    alphas, scales, places, seen = [], [], [], []
+    last, ones = np.zeros((len(length), s)), np.ones(s)
     for t, n in enumerate(live):
-        e = model.emit[x[start[:n] + t]]
+        seen.append(x[start[:n] + t])
+        e = model.emit.take(seen[-1], 0)
         a = (alphas[-1][:n] @ model.move if t else entry) * e
-        scale = a.sum(1, keepdims=True)
+        scale = (a @ ones)[:, None]  # quicker than a sum along a short axis
         alphas.append(a / scale)
         scales.append(scale)
         places.append(e)
@@ -208,7 +209,7 @@ def expected(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray,
     sums[:s] += gammas[0][first].sum(0)
     sums[s : s + s * s] += (xi * model.move).ravel()
     gamma = np.concatenate(gammas)
-    seen = np.concatenate([x[start[:n] + t] for t, n in enumerate(live)])
+    seen = np.concatenate(seen)
     emit = sums[s + s * s :].reshape(-1, s)
     for k in range(s):
         emit[:, k] += np.bincount(seen, gamma[:, k], len(emit))
@@ -294,12 +295,13 @@ def _run(model: Model, x: np.ndarray, start: np.ndarray, length: np.ndarray, fir
     st, ln = start[order], length[order]
     live = np.searchsorted(-ln, -np.arange(ln[0] if len(ln) else 0), "left")
     f = np.ones((len(st), 1, s)) if first else np.tile(np.eye(s), (len(st), 1, 1))
-    log = np.zeros(len(st))
+    log, ones = np.zeros(len(st)), np.ones(f[0].size if len(st) else s)
     for t, n in enumerate(live):
-        e = model.emit[x[st[:n] + t]][:, None, :]
-        f[:n] = (model.start if first and not t else f[:n] @ model.move) * e
+        e = model.emit.take(x[st[:n] + t], 0)[:, None, :]
+        # one product of two matrices; a stack of small ones takes far longer
+        f[:n] = (model.start if first and not t else (f[:n].reshape(-1, s) @ model.move).reshape(n, -1, s)) * e
         if t % 8 == 7 or t + 1 == len(live) or live[t + 1] < n:
-            scale = f[:n].sum((1, 2))
+            scale = f[:n].reshape(n, -1) @ ones
             f[:n] /= scale[:, None, None]
             log[:n] += np.log(scale)
     back = np.empty(len(order), np.int64)
@@ -340,31 +342,37 @@ def word_sums(rows: DataFrame, model: Model, vocabulary: Broadcast) -> DataFrame
     shared, s = rows.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit)), len(model.start)
     names = [f"n{k}" for k in range(s)]
 
+    def table(kind: np.ndarray, word: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(kind), pa.array(word), pa.array(c), *(pa.array(n[:, k].copy()) for k in range(s))], names=["kind", "word", "c", *names])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, v = Model(*shared.value), vocabulary.value
+        known = np.concatenate([now.emit[:1], now.emit[v.classes]])  # by place: the end mark, the vocabulary's words
+        m, few = len(known), np.zeros(s + s * s)
+        count, total = np.zeros(m, np.int64), np.zeros((m, s))
         for batch in batches:
             for part in _parts(batch, 0, TOKENS):
-                cls, splits = _flat(part, 0)
-                place = _flat(part, 1)[0]
-                h = np.empty(len(cls), np.uint64)
-                h[place > 0] = v.words[place[place > 0] - 1]
-                h[place < 0] = _flat(part, 2)[0].view(np.uint64)
-                is_word = place != 0
-                word, one, at = np.unique(h[is_word], return_index=True, return_inverse=True)
-                x = np.full(len(cls), len(word))  # this part's words, then the end mark
-                x[is_word] = at
-                local = Model(now.start, now.move, now.emit[np.append(cls[is_word][one], 0)])
-                sums = np.zeros(s + s * s + (len(word) + 1) * s)
+                (cls, splits), place = _flat(part, 0), _flat(part, 1)[0]
+                word, one, at = np.unique(_flat(part, 2)[0].view(np.uint64), return_index=True, return_inverse=True)
+                rare, x = np.flatnonzero(place < 0), place.astype(np.int64)
+                x[rare] = m + at  # this part's other words
+                local = Model(now.start, now.move, np.concatenate([known, now.emit[cls[rare[one]]]]))
+                sums = np.zeros(s + s * s + (m + len(word)) * s)
                 text, start, length = _windows(splits)
                 before, after = borders(local, x, text, start, length)
                 for k in range(0, len(start), GROUP):
                     on = slice(k, k + GROUP)
                     expected(local, x, start[on], length[on], sums, before[on], after[on])
-                n = np.concatenate([sums[s + s * s :], sums[: s + s * s]]).reshape(-1, s)
-                kind = np.repeat(np.array([WORD, END, START, MOVE], np.int8), [len(word), 1, 1, s])
-                key = np.concatenate([word.view(np.int64), [0, 0], np.arange(s)])
-                c = np.concatenate([np.bincount(x, minlength=len(word) + 1), np.zeros(1 + s, np.int64)])
-                yield pa.record_batch([pa.array(kind), pa.array(key), pa.array(c), *(pa.array(n[:, k].copy()) for k in range(s))], names=["kind", "word", "c", *names])
+                few += sums[: s + s * s]
+                n, c = sums[s + s * s :].reshape(-1, s), np.bincount(x, minlength=m + len(word))
+                total += n[:m]
+                count += c[:m]
+                yield table(np.full(len(word), WORD, np.int8), word.view(np.int64), c[m:], n[m:])
+        if count[0]:
+            seen = 1 + np.flatnonzero(count[1:])
+            yield table(np.full(len(seen), WORD, np.int8), v.words[seen - 1].view(np.int64), count[seen], total[seen])
+            kind, zeros = np.array([END, START, *[MOVE] * s], np.int8), np.zeros(1 + s, np.int64)
+            yield table(kind, np.array([0, 0, *range(s)]), np.append(count[:1], zeros), np.concatenate([total[:1], few.reshape(-1, s)]))
 
     kinds = "kind byte, word long, c long, " + ", ".join(f"{x} double" for x in names)
     found = rows.select("classes", "places", "rare").mapInArrow(scan, kinds)
@@ -441,7 +449,7 @@ def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIO
 
     # a rare word's count is below the vocabulary's words', so no key of this join is hot;
     # what meets in a row is one text's words
-    rare = rows.select("row", F.posexplode("rare").alias("at", "word")).join(sums.filter(F.col("kind") == WORD), "word").groupBy("row").agg(
+    rare = rows.select("row", F.posexplode("rare").alias("at", "word")).join(sums.filter((F.col("kind") == WORD) & (F.col("c") < v.frequent)), "word").groupBy("row").agg(
         F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + F.lit(DELTA))).alias("rare_log"), F.collect_list(F.struct("at", "c", *names)).alias("found")
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
