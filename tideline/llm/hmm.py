@@ -453,10 +453,11 @@ def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIO
         F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + F.lit(DELTA))).alias("rare_log"), F.collect_list(F.struct("at", "c", *names)).alias("found")
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    others = F.size("rare") - zero("rare_known")
-    base = F.col("base") + zero("rare_log") + others * F.lit(float(np.log10(DELTA))) - F.size("rare") * F.lit(v.log_total) + F.lit(v.end_base)
+    others = F.col("n_rare") - zero("rare_known")
+    base = F.col("base") + zero("rare_log") + others * F.lit(float(np.log10(DELTA))) - F.col("n_rare") * F.lit(v.log_total) + F.lit(v.end_base)
     nothing = F.array().cast("array<struct<at int, c long, " + ", ".join(f"{x} double" for x in names) + ">>")
-    return rows.join(rare, "row", "left").select(
+    sized = rows.withColumn("n_rare", F.size("rare")).drop("classes", "rare")  # before the shuffle of the join
+    return sized.join(rare, "row", "left").select(
         "doc_id", "held_out", (F.col("n") + 1).alias("n_tokens"), (F.col("known") + zero("rare_known") + F.lit(int(v.documents > 0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "row", "places", F.coalesce("found", nothing).alias("found"),
     ).mapInArrow(
